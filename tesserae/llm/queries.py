@@ -4,7 +4,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import decontaminate
 from .sentencepiece_codec import encode_decode
+from .simhash import near_duplicates
 from .vocab import vocabulary
 
 
@@ -12,5 +14,17 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {"op3_sentencepiece": op3_sentencepiece}
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids")
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_decontamination": op4_decontamination,
+    "op6_simhash": op6_simhash,
+}
 ORACLES: dict[str, str] = {}
