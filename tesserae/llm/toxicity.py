@@ -45,7 +45,7 @@ def _frequency(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate([_grams(t) for t in texts] + [np.zeros(0, U)]), return_counts=True)
 
 
-def toxic_stems(toxic: list[bytes], ordinary: list[bytes], size: int = 3072, rounds: int = 3) -> list[bytes]:
+def toxic_stems(toxic: list[bytes], ordinary: list[bytes], size: int = 3072, rounds: int = 3, contrast: float = 8) -> list[bytes]:
     """Byte runs in many toxic texts and in next to no ordinary one, commonest first."""
     if not toxic or not ordinary:
         return []
@@ -55,11 +55,13 @@ def toxic_stems(toxic: list[bytes], ordinary: list[bytes], size: int = 3072, rou
         g, n = _frequency(left)
         at = np.minimum(np.searchsorted(seen, g), max(0, len(seen) - 1))
         other = np.where(seen[at] == g, times[at], 0) if len(seen) else np.zeros(len(g))
-        good = (n >= max(3, 0.02 * len(toxic))) & (n / len(toxic) > 50 * (other + 0.5) / len(ordinary))
+        ratio = n / len(toxic) * len(ordinary) / (other + 0.5)
+        good = (n >= max(3, 0.02 * len(toxic))) & (ratio > contrast)
         count = dict(zip(g[good].tolist(), n[good].tolist()))
+        worth = dict(zip(g[good].tolist(), (n * np.log(ratio))[good].tolist()))
         used: set[bytes] = set()
         new = []
-        for key in sorted(count, key=lambda k: (-count[k], k)):
+        for key in sorted(count, key=lambda k: (-worth[k], k)):
             if key not in count:
                 continue
             c, stem, left_end, right_end = count.pop(key), key.to_bytes(GRAM, "big"), key, key
@@ -151,7 +153,7 @@ def features(gain: np.ndarray) -> list[float]:
     top = np.sort(gain)[::-1][:3]
     top = np.r_[top, np.zeros(3 - len(top))]
     n = max(1, len(gain))
-    return [float(top[0]), float(top[1]), float(top[2]), min(50.0, float((gain >= 3).sum())), float((gain >= 2).sum()) / n, float(np.clip(gain.mean() if len(gain) else 0, -2, 5)), float(np.log1p(n))]
+    return [float(top[0]), float(top[1]), float(top[2]), min(50.0, float((gain >= 3).sum())), float((gain >= 2).sum()) / n, float((gain >= 4).sum()) / n, float(np.sqrt((gain >= 2).sum())), float(np.clip(gain.mean() if len(gain) else 0, -2, 5)), float(np.log1p(n))]
 
 
 @dataclass
@@ -194,7 +196,7 @@ def fit(texts: list[bytes], toxic: list[int]) -> Model:
     for c in (0, 1):
         own = np.flatnonzero(y == c)
         rank[own] = np.arange(len(own))
-    x = np.zeros((len(y), 7))
+    x = np.zeros((len(y), 9))
     for part in (0, 1):
         learn = lambda i, p=part: rank[i] % 2 != p
         if not split(learn, 0) or not split(learn, 1):
