@@ -4,10 +4,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import toxicity
-from .common import table
+from .common import shared_dir, table
 from .decontaminate import decontaminate
 from .sentencepiece_codec import encode_decode
 from .simhash import near_duplicates
+from .token_store import read_documents, write_store
 from .vocab import vocabulary
 
 
@@ -30,10 +31,17 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "op8")
+    write_store(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
+    return read_documents(spark, path)
+
+
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_decontamination": op4_decontamination,
     "op6_simhash": op6_simhash,
+    "op8_token_store": op8_token_store,
 }
 ORACLES: dict[str, str] = {}
