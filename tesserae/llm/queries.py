@@ -3,15 +3,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import toxicity
+from . import sharding, toxicity, url_filter
 from .common import shared_dir, table
 from .decontaminate import decontaminate
 from .sentencepiece_codec import encode_decode
 from .simhash import near_duplicates
 from .token_store import read_documents, write_store
+from .transducer import count_tokens
 from .vocab import vocabulary
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.listed_table(spark))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -27,10 +32,18 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids")
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), ["doc_id"], keep=["doc_id"])
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "op8")
     write_store(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
@@ -38,10 +51,13 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filters": op1_url_filters,
     "op2_toxicity": op2_toxicity,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_decontamination": op4_decontamination,
+    "op5_sharding": op5_sharding,
     "op6_simhash": op6_simhash,
+    "op7_token_counts": op7_token_counts,
     "op8_token_store": op8_token_store,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_url_filters": url_filter.oracle_sql(), "op5_sharding": sharding.oracle_sql()}
