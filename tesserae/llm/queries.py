@@ -2,8 +2,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import sharding, toxicity, url_filter
+from . import license_scan, sharding, toxicity, url_filter
 from .common import shared_dir, table
 from .decontaminate import decontaminate
 from .sentencepiece_codec import encode_decode
@@ -50,6 +51,13 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, path)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents lie at source/lang/doc_id."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("_"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", part("source"), part("lang"), part("doc_id")).alias("path"))
+    return license_scan.scan(docs, keep=["doc_id"])
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_toxicity": op2_toxicity,
@@ -59,5 +67,6 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op7_token_counts": op7_token_counts,
     "op8_token_store": op8_token_store,
+    "op10_license_scan": op10_license_scan,
 }
 ORACLES: dict[str, str] = {"op1_url_filters": url_filter.oracle_sql(), "op5_sharding": sharding.oracle_sql()}
