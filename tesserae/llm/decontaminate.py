@@ -193,7 +193,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     A kept column whose name clashes with one of the result's must be renamed by the caller.
     """
     ship(docs.sparkSession)
-    lead = [F.col(doc_id).alias("__id"), F.col(text).cast("string").alias("__t"), F.lit(None).cast("binary").alias("__hit"), F.lit(None).cast("array<string>").alias("__items")]
+    name = text if keep and text in keep and docs.schema[text].dataType.simpleString() == "string" else "__t"
+    lead = [F.col(doc_id).alias("__id"), *([] if name != "__t" else [F.col(text).cast("string").alias("__t")]), F.lit(None).cast("binary").alias("__hit"), F.lit(None).cast("array<string>").alias("__items")]
     state = docs.select(*lead, *(F.col(c) for c in keep or []))
     shown = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep or [])
     tail = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, item_ids array<string>"
@@ -206,18 +207,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
         if not first:
             state = checkpoint(state)
         schema = ((shown if keep else f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}") + ", " + tail) if last else state.schema
-        state = state.mapInArrow(_scanner(sent, doc_id, list(keep or []), last), schema)
+        state = state.mapInArrow(_scanner(sent, doc_id, name, list(keep or []), last), schema)
         first, block = False, after
         if last:
             return state
 
 
-def _scanner(sent, doc_id: str, keep: list[str], last: bool):
+def _scanner(sent, doc_id: str, name: str, keep: list[str], last: bool):
     def run(batches):
         index = sent.value
         for whole in batches:
-            for b in slices(whole, "__t", 2 << 20):
-                words = Words(b.column("__t"))
+            for b in slices(whole, name, 2 << 20):
+                words = Words(b.column(name))
                 hit, pairs = find(words, index)
                 ends = np.r_[0, np.cumsum(words.counts)]
                 before = b.column("__hit").to_pylist()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from . import license_scan, sharding, toxicity, url_filter
 from .common import shared_dir, table
 from .decontaminate import decontaminate
+from .forest import nearest
 from .sentencepiece_codec import encode_decode
 from .simhash import near_duplicates
 from .token_store import read_documents, write_store
@@ -51,6 +52,10 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, path)
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), "id % 20 = 0")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents lie at source/lang/doc_id."""
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("_"))
@@ -67,6 +72,7 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op7_token_counts": op7_token_counts,
     "op8_token_store": op8_token_store,
+    "op9_nearest": op9_nearest,
     "op10_license_scan": op10_license_scan,
 }
 ORACLES: dict[str, str] = {"op1_url_filters": url_filter.oracle_sql(), "op5_sharding": sharding.oracle_sql()}

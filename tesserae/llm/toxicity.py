@@ -242,14 +242,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     ship(spark)
     sent = spark.sparkContext.broadcast(model)
     lead = list(keep or [id_col])
-    base = docs.select(*(F.col(c) for c in lead), F.col(text_col).cast("string").alias("__t"))
+    text = text_col if text_col in lead and docs.schema[text_col].dataType.simpleString() == "string" else "__t"
+    base = docs.select(*(F.col(c) for c in lead), *([] if text in lead else [F.col(text_col).cast("string").alias("__t")]))
     shown = ", ".join(f"`{c}` {base.schema[c].dataType.simpleString()}" for c in lead)
 
     def run(batches):
         m = sent.value
         for whole in batches:
-            for b in slices(whole, "__t", 2 << 20):
-                got = m.scores([normal(t) for t in b.column("__t").to_pylist()])
+            for b in slices(whole, text, 2 << 20):
+                got = m.scores([normal(t) for t in b.column(text).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in lead), pa.array(got), pa.array((got >= 0.5).astype(np.int32))], names=[*lead, "score", "predicted"])
 
     return base.mapInArrow(run, f"{shown}, score double, predicted int")
