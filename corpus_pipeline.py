@@ -1,20 +1,71 @@
-"""The corpus pipeline: STAGES, run() and ORACLE_SQL."""
+"""The corpus pipeline: STAGES, run() and ORACLE_SQL.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. Inside a stage the
+columns of docs bear numbers, so that extra columns with any names pass through. An empty table
+passes every stage. Stages with models or merges have no SQL form; their tests are brute force.
+"""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
+from tesserae.llm import toxicity
+from tesserae.llm.decontaminate import decontaminate
 from tesserae.llm.sentencepiece_codec import encode_decode
+from tesserae.llm.simhash import near_duplicates
 from tesserae.llm.vocab import vocabulary
 
 ORACLE_SQL = None
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str, str, list[str]]:
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names[docs.columns.index("doc_id")], names[docs.columns.index("text")], names
+
+
+def _named(df: DataFrame, names: list[str], docs: DataFrame) -> DataFrame:
+    return df.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score under one half, by a model of the labelled ones; all, without labels of both kinds unless most are toxic."""
+    df, doc_id, text, names = _numbered(docs)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias(doc_id), "toxic")
+    model = toxicity.train(df, labels, id_col=doc_id, text_col=text)
+    scored = toxicity.score(df, model, id_col=doc_id, text_col=text, keep=names)
+    return _named(scored.where("predicted = 0"), names, docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that is linked by SimHash: that of the least doc_id.
+
+    Rows of one doc_id are one document (that of the least text stays). Rows without a doc_id are
+    documents by their text, and come after all others when a group's document is chosen.
+    """
+    df, doc_id, text, names = _numbered(docs)
+    own = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(1 << 62) + F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1)))
+    df = df.withColumn("k", own)
+    groups = near_duplicates(df, id_col="k", text_col=text)
+    first = groups.where("k = component_id").select("k").distinct()
+    kept = df.join(first, "k", "left_semi").withColumn("r", F.row_number().over(W.partitionBy("k").orderBy(F.col(text).asc_nulls_first())))
+    return _named(kept.where("r = 1"), names, docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a word inside a window of a benchmark item."""
+    df, doc_id, text, names = _numbered(docs)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.col("text").alias("item"))
+    found = decontaminate(df, items, doc_id=doc_id, text=text, item_text="item", keep=names)
+    return _named(found.where("not contaminated"), names, docs)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document that is left, with digests of the ids and of the decoded text."""
     return encode_decode(docs, vocabulary("piece_bpe_32k.model"), with_ids=True)
 
 
-STAGES = [("sentencepiece", tokens)]
+STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_contaminated), ("sentencepiece", tokens)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
