@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint, ship, slices
 
 WINDOW, LEAST, MOST, MASK = 16, 256, 4096, 1023
-MEMO, MEMO_CHARS = 400_000, 48
+MEMO, MEMO_CHARS = 1_200_000, 32
 #: Texts of these characters alone are split by Python's patterns; the library splits all others.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ]*")
 _L, _N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -62,21 +62,33 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of self.width bytes."""
-        split = [_SPLIT.findall(t) if self.plain and _PLAIN.fullmatch(t) and not (self.special and self.special.search(t)) else None for t in texts]
-        words = set().union(*(s for s in split if s))
-        new = list(words - self.memo.keys())
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = list(words)
-        once = self._fill(new) if new else {}
-        long = {w: once[w] for w in once if len(w) > MEMO_CHARS}
-        for w in long:
-            del once[w]
-        self.memo |= once
-        get = self.memo.__getitem__ if not long else lambda w: self.memo[w] if w in self.memo else long[w]
-        rest = [t for t, s in zip(texts, split) if s is None]
-        other = iter(self.tok.encode_batch(rest, add_special_tokens=False) if rest else [])
-        return [b"".join(map(get, s)) if s is not None else np.array(next(other).ids, np.int64).astype(self.kind).tobytes() for s in split]
+        out: list = [None] * len(texts)
+        open_: list[tuple[int, list, list[int], list[str]]] = []
+        whole, get = [], self.memo.get
+        for i, t in enumerate(texts):
+            if not self.plain or not _PLAIN.fullmatch(t) or (self.special and self.special.search(t)):
+                whole.append(i)
+                continue
+            words = _SPLIT.findall(t)
+            ids = list(map(get, words))
+            if None in ids:
+                at = [k for k, v in enumerate(ids) if v is None]
+                open_.append((i, ids, at, [words[k] for k in at]))
+            else:
+                out[i] = b"".join(ids)
+        if open_:
+            new = self._fill(list({w for *_, words in open_ for w in words}))
+            for i, ids, at, words in open_:
+                for k, w in zip(at, words):
+                    ids[k] = new[w]
+                out[i] = b"".join(ids)
+            if len(self.memo) + len(new) > MEMO:
+                self.memo.clear()
+            self.memo.update((w, v) for w, v in new.items() if len(w) <= MEMO_CHARS)
+        if whole:
+            for i, got in zip(whole, self.tok.encode_batch([texts[i] for i in whole], add_special_tokens=False)):
+                out[i] = np.array(got.ids, np.int64).astype(self.kind).tobytes()
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -115,11 +127,16 @@ def cuts(ids: np.ndarray) -> list[int]:
     return out
 
 
+_PACKER = None
+
+
 def pack(raw: bytes, width: int) -> bytes:
     import zstandard
 
-    planes = np.frombuffer(raw, np.uint8).reshape(-1, width).T
-    return zstandard.ZstdCompressor(level=1, write_content_size=True).compress(planes.tobytes())
+    global _PACKER
+    if _PACKER is None:
+        _PACKER = zstandard.ZstdCompressor(level=1, write_content_size=True)
+    return _PACKER.compress(np.frombuffer(raw, np.uint8).reshape(-1, width).T.tobytes())
 
 
 def unpack(data: bytes, width: int) -> np.ndarray:
