@@ -4,6 +4,456 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tesserae.constants import CAUSAL_LOOKBACK, INTENT_WEIGHTS, TRAVERSAL, WHEN_TERMS, WHY_TERMS
+from tesserae.constants import ENTITY_TERMS as WHAT_TERMS
+from tesserae.functions import diff, entities, gates, scoring, text
+from tesserae.functions import similarity as S
+from tesserae.operators import edges as E
+from tesserae.operators import graph, retrieval
+
+from . import views as V
+from .session import checkpoint, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+r6 = lambda c: F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+# Text
+
+@query(f"with {V.D} select id, len(tokens)::bigint as n_tokens, md5(array_to_string(list_sort(tokens), ' ')) as tokens_md5 from d")
+def tokenize_docs(spark, sf):
+    return V.documents(spark, sf).select("id", F.size("tokens").cast("bigint").alias("n_tokens"), F.md5(F.array_join(F.array_sort("tokens"), " ").cast("binary")).alias("tokens_md5"))
+
+
+@query("""with n as (select doc_id, sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) as content_hash from documents)
+select content_hash, count(*) as copies, min(doc_id) as first_id from n group by 1 having count(*) > 1""")
+def content_hash_dups(spark, sf):
+    n = read(spark, sf, "documents").select("doc_id", text.content_hash(text.normalize_content(F.col("text"))).alias("content_hash"))
+    return n.groupBy("content_hash").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
+
+
+@query("""with f as (select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as t from documents)
+select doc_id, case when length(t) <= 240 then t else rtrim(substr(t, 1, 239)) || '…' end as excerpt from f""")
+def brief_excerpt(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", text.brief(F.col("text"), 240).alias("excerpt"))
+
+
+_INTENTS = ("why, tell me about the reason", "why when", "what is the date", "who is it", "describe the cause", "when did it happen before", "nothing here", "because of time", "the rationale")
+_alt = lambda terms: "\\b(?:" + "|".join(t for t in terms if t.isascii()) + ")\\b|" + "|".join(t for t in terms if not t.isascii())
+
+
+@query(f"""with q as (select * from (values {", ".join(f"('{q}')" for q in _INTENTS)}) as t(query)),
+n as (select query, len(regexp_extract_all(lower(query), '{_alt(WHY_TERMS)}')) as y, len(regexp_extract_all(lower(query), '{_alt(WHEN_TERMS)}')) as w, len(regexp_extract_all(lower(query), '{_alt(WHAT_TERMS)}')) as e from q)
+select query, case when y > w and y > e then 'WHY' when w > y and w > e then 'WHEN' when e > 0 then 'ENTITY' else 'GENERAL' end as intent from n""")
+def intent_detect(spark, sf):
+    return spark.sql("select * from values " + ", ".join(f"('{q}')" for q in _INTENTS) + " as t(query)").select("query", scoring.detect_intent(F.col("query")).alias("intent"))
+
+
+# Retrieval
+
+@query(f"with {V.D}, {V.Q}, {V.KW} select query_id, id, round(keyword, 6) as keyword, rank from (select kw.*, row_number() over (partition by query_id order by keyword desc, importance desc, created_at desc, id) as rank from kw join d using (id)) where rank <= 20")
+def keyword_topk(spark, sf):
+    return retrieval.keyword_topk(V.documents(spark, sf), V.queries(spark), 20).select("query_id", "id", r6("keyword").alias("keyword"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(f"with {V.D}, {V.Q}, {V.KW} select query_id, id, round(keyword, 6) as keyword, rank from (select *, row_number() over (partition by query_id order by keyword desc, id) as rank from kw) where rank <= 20")
+def keyword_anchor(spark, sf):
+    return retrieval.ranked(retrieval.keyword_scores(V.documents(spark, sf), V.queries(spark)), [F.desc("keyword"), "id"], 20).select("query_id", "id", r6("keyword").alias("keyword"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(f"with {V.D0} select id, row_number() over (order by created_at desc, id) as rank from d qualify rank <= 20")
+def recency_anchor(spark, sf):
+    one = spark.sql("select 1 as query_id")
+    return retrieval.recency(V.documents(spark, sf, False), one).select("id", F.col("rank").cast("bigint").alias("rank"))
+
+
+_KNN = f"with {V.V}, n as (select q.id as query_id, v.id, {V.COS.format(a='q.x', b='v.x')} as cosine from v, (select * from v where id % 100 = 0) q where v.id <> q.id)"
+
+
+@query(_KNN + " select query_id, id, round(cosine, 6) as cosine, row_number() over (partition by query_id order by cosine desc, id) as rank from n qualify rank <= 10")
+def knn_batch(spark, sf):
+    got = retrieval.knn(V.vectors(spark, sf), V.vector_queries(spark, sf), 10, exclude_self=True)
+    return got.select("query_id", "id", r6("cosine").alias("cosine"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(_KNN + " select query_id, id, round(cosine, 6) as cosine, row_number() over (partition by query_id order by cosine desc, id) as rank from n where cosine > 0.1 qualify rank <= 20")
+def vector_anchor(spark, sf):
+    got = retrieval.knn(V.vectors(spark, sf), V.vector_queries(spark, sf), 20, 0.1, exclude_self=True)
+    return got.select("query_id", "id", r6("cosine").alias("cosine"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(f"with {V.V}, n as (select id, {V.COS.format(a='x', b='(select x from v where id = 7)')} as cosine from v) select id, round(cosine, 6) as cosine from n order by cosine desc, id limit 10")
+def knn_exact(spark, sf):
+    v = V.vectors(spark, sf)
+    one = v.where("id = 7").select(F.col("embedding").alias("q"))  # at most a row for the id
+    return v.crossJoin(F.broadcast(one.limit(1))).select("id", S.cosine(F.col("embedding"), F.col("q")).alias("c")).orderBy(F.desc("c"), "id").limit(10).select("id", r6("c").alias("cosine"))
+
+
+_RRF = f"""{V.D}, {V.Q}, {V.KW}, lists as (
+select query_id, id, 'keyword' as signal, row_number() over (partition by query_id order by keyword desc, id) as rank from kw qualify rank <= 20
+union all select query_id, r.id, 'recency', r.rank from q, (select id, row_number() over (order by created_at desc, id) as rank from d qualify rank <= 20) r),
+raw as (select query_id, id, sum(1.0::double / (60 + rank)) as raw, list_sort(list(distinct signal)) as signals from lists group by 1, 2),
+anchors as (select query_id, id, raw / max(raw) over (partition by query_id) as score, case when len(signals) > 1 then 'hybrid' else signals[1] end as via from raw)"""
+
+
+@query(f"with {_RRF} select query_id, id, round(score, 6) as score, via from anchors")
+def rrf_anchors(spark, sf):
+    return retrieval.anchors(V.documents(spark, sf), V.queries(spark)).select("query_id", "id", r6("score").alias("score"), "via")
+
+
+@query(f"with {V.D}, {V.Q}, {V.KW} select query_id, id, round(0.45 * keyword, 6) as score, row_number() over (partition by query_id order by 0.45 * keyword desc, id) as rank from kw qualify rank <= 20")
+def search_keyword(spark, sf):
+    got = retrieval.search(V.documents(spark, sf), V.queries(spark), 20)
+    return got.select("query_id", "id", r6("score").alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query()
+def search_fts(spark, sf):
+    """Keyword and full text; stems have no SQL form."""
+    d = checkpoint(V.documents(spark, sf).withColumn("doc", text.stems(F.col("content"))))
+    q = V.queries(spark)
+    fts = None
+    for i, words in V.QUERIES:
+        want = [text.stem(w) for w in words.split() if w not in text.STOPWORDS]
+        part = d.select(F.lit(i).alias("query_id"), "id", text.cover_density(F.col("doc"), want).alias("rank_cd")).where("rank_cd is not null")
+        fts = part if fts is None else fts.union(part)
+    return retrieval.search(d, q, 20, fts).select("query_id", "id", r6("score").alias("score"), "via", F.col("rank").cast("bigint").alias("rank"))
+
+
+# Entities
+
+@query("""with x as (select doc_id, unnest(list_distinct(regexp_extract_all(text, '\\b[A-Z]{2,6}\\b'))) as caps from documents) select doc_id, caps from x""")
+def entity_caps(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(entities.CAPS), F.lit(1)))).alias("caps"))
+
+
+@query("""with x as (select doc_id, unnest(list_distinct(regexp_extract_all(text, '@([a-zA-Z_][A-Za-z0-9_]+)', 1))) as mention from documents) select doc_id, mention from x""")
+def entity_mentions(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(entities.MENTION), F.lit(1)))).alias("mention"))
+
+
+@query()
+def entity_extract(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", F.posexplode(entities.extract(F.col("text"))).alias("place", "entity"))
+
+
+# A row's entities in what follows: its source, and the words of its text that are no longer than three letters.
+_SHORT = "list_distinct(list_concat([source], regexp_extract_all(content, '\\b[a-zA-Z]{1,2}\\b')))"
+
+
+def _with_entities(spark, sf):
+    d = V.documents(spark, sf, False)
+    return d.withColumn("entities", F.array_distinct(F.concat(F.array("source"), F.regexp_extract_all("content", F.lit("(?<![A-Za-z0-9_])([a-zA-Z]{1,2})(?![A-Za-z0-9_])"), F.lit(1)))))
+
+
+@query(f"""with {V.D0}, x as (select id, content, unnest({_SHORT}) as entity from d), f as (select entity, count(*) as df from x group by 1),
+ok as (select entity from f where df <= greatest(20, 0.01 * (select count(*) from d))),
+w as (select id, unnest(list_distinct(regexp_extract_all(content, '[a-zA-Z0-9]+'))) as word from d)
+select id, word from w where word in (select entity from ok) and not list_contains([{", ".join(f"'{a}'" for a in entities.ACRONYM_STOPWORDS)}], word)""")
+def entity_df_admission(spark, sf):
+    e = _with_entities(spark, sf)
+    return entities.admitted(e, V.documents(spark, sf, False)).distinct()
+
+
+@query(f"""with {V.D0}, x as (select id, created_at, lang || source as entity from d),
+p as (select a.id, b.id as other, row_number() over (partition by a.id order by b.created_at desc, b.id desc) as nth from x a join x b on a.entity = b.entity and (b.created_at, b.id) < (a.created_at, a.id) qualify nth <= 5)
+select other as source_id, id as target_id, 1.0::double as weight from p union all select id, other, 1.0 from p""")
+def entity_edges(spark, sf):
+    d = V.documents(spark, sf, False).withColumn("entities", F.array(F.concat("lang", "source")))
+    return E.entity_links(d).select("source_id", "target_id", "weight")
+
+
+# Edges
+
+@query(f"""with {V.E}, p as (select id, lag(id) over (partition by namespace, source order by created_at, id) as prev from e)
+select prev as source_id, id as target_id, 'precedes' as direction, 1.0::double as weight from p where prev is not null
+union all select id, prev, 'succeeds', 1.0 from p where prev is not null""")
+def backbone_edges(spark, sf):
+    return E.backbone(V.events(spark, sf)).select("source_id", "target_id", "direction", "weight")
+
+
+@query(f"""with {V.E}, n as (select *, row_number() over (partition by namespace order by created_at, id) as k, lag(id) over (partition by namespace, source order by created_at, id) as prev from e),
+p as (select a.id, b.id as other, epoch_us(a.created_at) - epoch_us(b.created_at) as us from n a join n b on a.namespace = b.namespace and b.k between a.k - 10 and a.k - 1 where b.id is distinct from a.prev),
+h as (select id, other, us / 3600000000.0 as hours from p where us <= 24 * 3600000000)
+select other as source_id, id as target_id, round(1 / (1 + hours), 6) as weight from h union all select id, other, round(1 / (1 + hours), 6) from h""")
+def proximity_edges(spark, sf):
+    return E.proximity(V.events(spark, sf)).select("source_id", "target_id", r6("weight").alias("weight"))
+
+
+@query(f"""with {V.E}, p as (select * from e where source = 'purchase'), c as (select * from e where source = 'click')
+select p.id, (select max_by(c.id, (c.created_at, -c.id)) from c where c.namespace = p.namespace and c.created_at <= p.created_at) as prev_id,
+(select min_by(c.id, (c.created_at, c.id)) from c where c.namespace = p.namespace and c.created_at > p.created_at) as next_id from p""")
+def asof_prev_next(spark, sf):
+    """For each purchase the click of its user just before (or at the same time) and just after: one sort, two frames."""
+    e = V.events(spark, sf).where("source in ('purchase', 'click')")
+    click = F.when(F.col("source") == "click", F.struct("created_at", "id"))
+    w = W.partitionBy("namespace").orderBy("created_at")
+    before = F.max_by("id", F.when(F.col("source") == "click", F.struct("created_at", -F.col("id")))).over(w.rangeBetween(W.unboundedPreceding, 0))
+    after = F.first(click, ignorenulls=True).over(W.partitionBy("namespace").orderBy("created_at", "id").rowsBetween(1, W.unboundedFollowing))
+    out = e.select("id", "source", "created_at", before.alias("prev_id"), after.alias("a")).where("source = 'purchase'")
+    return out.select("id", "prev_id", F.when(F.col("a.created_at") > F.col("created_at"), F.col("a.id")).alias("next_id"))
+
+
+_NEAR = f"with {V.V}, n as (select q.id as query_id, v.id, {V.COS.format(a='q.x', b='v.x')} as cosine, row_number() over (partition by q.id order by {V.COS.format(a='q.x', b='v.x')} desc, v.id) as rank from v, (select * from v where id % 100 = 0) q where v.id <> q.id qualify rank <= 5), p as (select * from n where cosine >= 0.4)"
+
+
+@query(_NEAR + " select distinct source_id, target_id, weight from (select query_id as source_id, id as target_id, round(cosine, 6) as weight from p union all select id, query_id, round(cosine, 6) from p)")
+def semantic_edges(spark, sf):
+    """At the candidates' threshold; the queries are the rows of every hundredth id."""
+    near = retrieval.knn(V.vectors(spark, sf), V.vector_queries(spark, sf), 5, exclude_self=True)
+    return E.semantic(near, 0.4).select("source_id", "target_id", r6("weight").alias("weight")).distinct()
+
+
+_PHRASES = ("idiot", "stupid", "eau", "tion")
+
+
+@query(f"""with {V.D}, n as (select *, {" or ".join(f"contains(lower(content), '{p}')" for p in _PHRASES)} as has, row_number() over (partition by lang, source order by created_at, id) as k from d),
+p as (select a.id, b.id as other, a.has as ah, len(list_intersect(a.tokens, b.tokens)) / greatest(len(a.tokens), len(b.tokens)) as weight from n a join n b on a.lang = b.lang and a.source = b.source and b.k between a.k - {CAUSAL_LOOKBACK} and a.k - 1 where (a.has or b.has) and len(a.tokens) > 0 and len(b.tokens) > 0)
+select case when ah then other else id end as source_id, case when ah then id else other end as target_id, round(weight, 6) as weight from p where weight >= 0.15""")
+def causal_edges(spark, sf):
+    """With phrases that occur in these texts."""
+    return E.causal(V.documents(spark, sf), ("lang", "source"), _PHRASES).select("source_id", "target_id", r6("weight").alias("weight"))
+
+
+@query(f"with {V.D0}, {V.G} select id, count(*) as n from (select source_id as id from g union all select target_id from g) group by 1")
+def degree_counts(spark, sf):
+    return E.degrees(V.edges(spark, sf))
+
+
+@query(f"with {V.D0}, {V.G} select count(*) filter (edge_type = 'temporal') as temporal, count(*) filter (edge_type = 'semantic') as semantic, count(*) filter (edge_type = 'causal') as causal, count(*) filter (edge_type = 'entity') as entity from g")
+def edge_type_pivot(spark, sf):
+    return E.count_by_type(V.edges(spark, sf))
+
+
+@query(f"with {V.D0}, {V.G} select (select count(*) from d) as insights, (select count(*) from embeddings e join d on e.vec_id = d.id) as embeddings, (select count(*) from g) as edges")
+def status_counts(spark, sf):
+    d = V.documents(spark, sf, False).select("id").join(V.vectors(spark, sf).select("id", F.lit(1).alias("e")), "id", "left")
+    n = d.agg(F.count("*").alias("insights"), F.count("e").alias("embeddings"))
+    return n.crossJoin(V.edges(spark, sf).agg(F.count("*").alias("edges")))  # one row and one row
+
+
+@query("""with o as (select o_custkey as s, o_orderkey % 50 as t, o_orderkey as seq, o_totalprice as w, o_orderkey % 3 <> 0 as derived, o_orderkey % 4 = 0 as new from orders),
+b as (select * from o where new qualify row_number() over (partition by s, t order by seq desc) = 1),
+a as (select * from o where not new qualify row_number() over (partition by s, t order by seq desc) = 1),
+u as (select *, 0 as b from a union all select *, 1 from b)
+select s as source_id, t as target_id, round(max_by(w, (case when not derived then 2 else 0 end) + b), 6) as weight, bool_and(derived) as derived from u group by 1, 2""")
+def edge_upsert_merge(spark, sf):
+    o = read(spark, sf, "orders").select(F.col("o_custkey").alias("source_id"), (F.col("o_orderkey") % 50).alias("target_id"), F.lit("causal").alias("edge_type"), F.col("o_totalprice").alias("weight"), (F.col("o_orderkey") % 3 != 0).alias("derived"), F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") % 4 == 0).alias("new"))
+    old = o.where("not new").drop("new").withColumn("r", F.row_number().over(W.partitionBy("source_id", "target_id").orderBy(F.desc("seq")))).where("r = 1").drop("r")
+    return E.merge_edges(old, o.where("new").drop("new")).select("source_id", "target_id", r6("weight").alias("weight"), "derived")
+
+
+@query("select o_custkey as key, max(o_orderkey) as version, round(max_by(o_totalprice, o_orderkey), 6) as value from orders group by 1")
+def latest_version(spark, sf):
+    o = read(spark, sf, "orders")
+    return o.groupBy(F.col("o_custkey").alias("key")).agg(F.max("o_orderkey").alias("version"), F.round(F.max_by("o_totalprice", "o_orderkey"), 6).alias("value"))
+
+
+# Diff
+
+_PAIRS = f"""{V.D}, n as (select id as query_id, tokens, content from d where id % 100 = 0),
+c as (select n.query_id, d.id, n.content as new, d.content as old, n.tokens as nt, d.tokens as ot, row_number() over (partition by n.query_id order by len(list_intersect(d.tokens, n.tokens)) / len(n.tokens) desc, d.importance desc, d.created_at desc, d.id) as rank from n join d on d.id <> n.query_id and list_has_any(d.tokens, n.tokens) qualify rank <= 5),
+j as (select query_id, id, new, old, len(list_intersect(nt, ot)) / len(list_distinct(list_concat(nt, ot))) as sim from c),
+s as (select query_id, id, sim, case when sim < 0.5 then 'ADD' when sim >= 0.7 and ({" or ".join(f"contains(lower(new), '{p.replace(chr(39), chr(39) * 2)}') or contains(lower(old), '{p.replace(chr(39), chr(39) * 2)}')" for p in diff.NEGATION_PHRASES)}) then 'CONFLICT' when sim > 0.9 and length(new) <= length(old) + length(old) // 4 then 'DUPLICATE' else 'UPDATE' end as suggestion from j)"""
+
+
+def _pairs(spark, sf):
+    d = V.documents(spark, sf)
+    q = d.where("id % 100 = 0").select(F.col("id").alias("query_id"), "tokens", F.col("content").alias("new"))
+    hit = retrieval.keyword_scores(d, q).where("query_id <> id").join(d.select("id", "importance", "created_at"), "id")
+    top = retrieval.ranked(hit, [F.desc("keyword"), F.desc("importance"), F.desc("created_at"), "id"], 5)
+    both = top.join(q.select("query_id", "new", F.col("tokens").alias("new_tokens")), "query_id").join(d.select("id", F.col("content").alias("old"), F.col("tokens").alias("old_tokens")), "id")
+    return diff.classify_pairs(both.withColumn("cosine", F.lit(0.0)))
+
+
+@query(f"with {_PAIRS} select query_id, id, round(sim, 6) as similarity, suggestion from s")
+def jaccard_pairs(spark, sf):
+    return _pairs(spark, sf).select("query_id", "id", r6("similarity").alias("similarity"), "suggestion")
+
+
+@query(f"with {_PAIRS} select query_id as new_id, case when bool_or(suggestion = 'CONFLICT') then 'CONFLICT' when bool_or(suggestion = 'DUPLICATE') then 'DUPLICATE' else min_by(suggestion, (-sim, id)) end as suggestion from s group by 1")
+def near_dups(spark, sf):
+    return diff.overall(_pairs(spark, sf).withColumnsRenamed({"query_id": "new_id", "id": "old_id"}))
+
+
+# Graph
+
+def _walk_sql(intent: str) -> str:
+    beam, depth, visited = TRAVERSAL[intent]
+    w = INTENT_WEIGHTS[intent]
+    weigh = "case edge_type " + " ".join(f"when '{k}' then {v}" for k, v in w.items()) + " end"
+    parts = [f"{V.D0}, {V.G}", "a0 as (select id, 1.0::double / (1 + row_number() over (order by id)) as score from d where id % 250 = 3)", "f0 as (select id as anchor, id, score from a0)", "s0 as (select anchor, id from f0)", "b0 as (select id, score, 'keyword' as via from a0)"]
+    for h in range(1, depth + 1):
+        p = h - 1
+        parts += [f"r{h} as (select f.anchor, u.b as id, u.edge_type, f.score + {weigh} * u.weight as score from f{p} f join u on u.a = f.id)",
+                  f"t{h} as (select id, max(score) as score, min_by(edge_type, (-score, anchor, edge_type)) as via from r{h} group by 1)",
+                  f"b{h} as (select coalesce(b.id, t.id) as id, case when t.score > coalesce(b.score, -1e300) then t.score else b.score end as score, case when t.score > coalesce(b.score, -1e300) then t.via else b.via end as via from b{p} b full join t{h} t on b.id = t.id)",
+                  f"n{h} as (select anchor, id, score, row_number() over (partition by anchor order by score desc, id) as k from (select anchor, id, max(score) as score from r{h} where (anchor, id) not in (select anchor, id from s{p}) group by 1, 2))",
+                  f"k{h} as (select n.* from n{h} n join (select anchor, count(*) as c from s{p} group by 1) c using (anchor) where n.k <= {visited} - c.c)",
+                  f"s{h} as (select anchor, id from s{p} union all select anchor, id from k{h})",
+                  f"f{h} as (select k.anchor, k.id, k.score from k{h} k join (select anchor, count(*) as m from s{h} group by 1) c using (anchor) where k.k <= {beam} and m < {visited})"]
+    return "with " + ",\n".join(parts) + f" select id, round(score, 6) as score, via from (select *, row_number() over (order by score desc, id) as n from b{depth}) where n <= 500"
+
+
+def _walk(spark, sf, intent):
+    d = V.documents(spark, sf, False).where("id % 250 = 3").select("id")
+    start = d.withColumn("query_id", F.lit(1)).withColumn("score", 1.0 / (1 + F.row_number().over(W.partitionBy("query_id").orderBy("id")))).withColumn("via", F.lit("keyword"))
+    q = spark.sql(f"select 1 as query_id, '{intent}' as intent")
+    return graph.walk(start, V.edges(spark, sf), q).select("id", r6("score").alias("score"), "via")
+
+
+@query(_walk_sql("GENERAL"))
+def graph_walk_general(spark, sf):
+    return _walk(spark, sf, "GENERAL")
+
+
+@query(_walk_sql("WHY"))
+def graph_walk_why(spark, sf):
+    return _walk(spark, sf, "WHY")
+
+
+def _hop_sql(h: int, front: str, seen: str) -> str:
+    return f"select u.b as id, {h} as depth, min_by(u.weight, (u.edge_type, u.seq)) as weight, min(u.edge_type) as edge_type from u join {front} f on u.a = f.id where u.b not in (select id from {seen}) group by 1"
+
+
+@query(f"""with {V.D0}, {V.G.replace("u as (select source_id as a, target_id as b, edge_type, weight from g union all select target_id, source_id, edge_type, weight from g)", "u as (select source_id as a, target_id as b, edge_type, weight, source_id * 1000000 + target_id as seq from g union all select target_id, source_id, edge_type, weight, source_id * 1000000 + target_id from g)")}, s0 as (select 10::bigint as id),
+h1 as ({_hop_sql(1, "s0", "s0")}),
+k1 as (select * from (select *, row_number() over (order by weight desc, id) as n from h1) where n <= 20), s1 as (select id from s0 union all select id from k1),
+h2 as ({_hop_sql(2, "k1", "s1")}),
+k2 as (select * from (select *, row_number() over (order by weight desc, id) as n from h2) where n <= 20 - (select count(*) from k1))
+select id, depth, round(weight, 6) as weight, edge_type from k1 union all select id, depth, round(weight, 6), edge_type from k2""")
+def related_bfs(spark, sf):
+    """Edges are of one age here; their type stands for the time, and their ends for the sequence."""
+    g = V.edges(spark, sf).withColumns({"created_at": F.col("edge_type"), "edge_seq": F.col("source_id") * 1_000_000 + F.col("target_id")})
+    start = spark.sql("select 1 as query_id, 10L as id")
+    return graph.related(start, g, 2, 20).select("id", "depth", r6("weight").alias("weight"), "edge_type")
+
+
+@query()
+def causal_topo(spark, sf):
+    """Anchors in causal order: iterative, no SQL form."""
+    a = retrieval.anchors(V.documents(spark, sf), V.queries(spark))
+    return graph.topological(a, V.edges(spark, sf))
+
+
+# Scores
+
+_FINAL = f"""{_RRF}, c as (select a.query_id, a.id, a.score as graph_raw, coalesce(kw.keyword, 0) as keyword, case when contains(d.content, 'idiot') then 1.0 else 0.0 end as entity, d.importance from anchors a join d using (id) left join kw on kw.query_id = a.query_id and kw.id = a.id),
+m as (select *, min(case when keyword > 0 then graph_raw end) over (partition by query_id) as lo, max(case when keyword > 0 then graph_raw end) over (partition by query_id) as hi from c),
+n as (select *, case when keyword > 0 and hi > lo then (graph_raw - lo) / (hi - lo) else 0 end as graph from m)"""
+
+
+@query(f"with {_FINAL} select query_id, id, round(0.45 * keyword + 0.25 * entity + 0.30 * graph, 6) as score, row_number() over (partition by query_id order by round(0.45 * keyword + 0.25 * entity + 0.30 * graph, 9) desc, importance desc, round(graph_raw, 9) desc, id) as place from n")
+def final_score(spark, sf):
+    d = V.documents(spark, sf)
+    q = V.queries(spark)
+    kw = retrieval.keyword_scores(d, q)
+    a = retrieval.anchors(d, q).withColumnRenamed("score", "graph_raw").drop("via", "signals").join(kw, ["query_id", "id"], "left").na.fill(0.0, ["keyword"])
+    c = a.join(d.select("id", "importance", F.when(F.col("content").contains("idiot"), 1.0).otherwise(0.0).alias("entity")), "id").withColumn("similarity", F.lit(0.0))
+    n = scoring.normalize_elite(c, False, ["query_id"])
+    s = n.withColumn("s", scoring.final_score(F.col("keyword"), F.col("entity"), F.col("similarity"), F.col("graph"), False))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("s", 9)), F.desc("importance"), F.desc(F.round("graph_raw", 9)), "id"))
+    return s.select("query_id", "id", r6("s").alias("score"), place.cast("bigint").alias("place"))
+
+
+@query(f"""with {V.E}, g as (select namespace as id, count(*) as access, max(created_at) as last, min(created_at) as created, cast(1 + namespace % 5 as integer) as importance, cast(namespace % 7 as integer) as edges from e group by 1),
+t as (select *, greatest(0.0, (epoch_us(timestamp '2024-06-01') - epoch_us(last)) / 86400000000.0) as days from g)
+select id, round(least(1.0, (case when importance >= 5 then 1.0 when importance = 4 then 0.8 when importance = 3 then 0.5 when importance = 2 then 0.3 else 0.15 end) * greatest(1.0, ln(1 + access)) * power(0.5, days / 30.0) * (1 + 0.1 * least(edges, 5))), 6) as effective, (importance >= 4 or access >= 3) as immune from t""")
+def retention(spark, sf):
+    g = V.events(spark, sf).groupBy(F.col("namespace").alias("id")).agg(F.count("*").alias("access"), F.max("created_at").alias("last"), F.min("created_at").alias("created"))
+    g = g.withColumn("importance", (1 + F.col("id") % 5).cast("int")).withColumn("edges", (F.col("id") % 7).cast("int"))
+    days = scoring.days_since(F.lit("2024-06-01 00:00:00").cast("timestamp"), F.col("last"), F.col("created"))
+    return g.select("id", r6(scoring.effective_importance(F.col("importance"), F.col("access"), days, F.col("edges"))).alias("effective"), scoring.immune(F.col("importance"), F.col("access")).alias("immune"))
+
+
+# Scans
+
+@query(f"with {V.D0} select id, source, importance from d where source = 'src0' and created_at between timestamp '2024-01-01 01:00:00' and timestamp '2024-01-01 12:00:00' order by created_at desc, id limit 20")
+def list_filter(spark, sf):
+    d = V.documents(spark, sf, False).where("source = 'src0'").where(F.col("created_at").between(F.lit("2024-01-01 01:00:00").cast("timestamp"), F.lit("2024-01-01 12:00:00").cast("timestamp")))
+    return d.orderBy(F.desc("created_at"), "id").limit(20).select("id", "source", "importance")
+
+
+@query(f"with {V.E} select id, source as operation from e where source = 'click' order by created_at desc, id desc limit 50")
+def log_tail(spark, sf):
+    return V.events(spark, sf).where("source = 'click'").orderBy(F.desc("created_at"), F.desc("id")).limit(50).select("id", F.col("source").alias("operation"))
+
+
+@query(f"with {V.D0} select id, source from d where lang = 'en' and source is not distinct from 'src1'")
+def scoped_read(spark, sf):
+    from tesserae.operators.scoped import Scope
+
+    d = V.documents(spark, sf, False).select("id", F.col("lang").alias("tenant_id"), F.lit("main").alias("namespace"), F.col("source").alias("user_id"), F.lit(None).cast("timestamp").alias("deleted_at"))
+    return Scope("en", "main", "src1").read(d).select("id", F.col("user_id").alias("source"))
+
+
+@query("select event_type as operation, sha256(cast(event_id as varchar)) as id_hash, case when props is not null and props <> '{}' then sha256(props) end as detail_hash from events")
+def receipt(spark, sf):
+    from tesserae.sources.importer import receipt_rows
+
+    e = read(spark, sf, "events").select(F.col("event_type").alias("operation"), F.col("event_id").cast("string").alias("insight_id"), F.col("props").alias("detail"))
+    return receipt_rows(e)
+
+
+# Gates and adapters
+
+@query(r"""select doc_id, regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') as pem, regexp_matches(text, '\bAKIA[0-9A-Z]{16}\b') as aws, regexp_matches(text, '\bgh[pousr]_[A-Za-z0-9]{36,}') as gh, regexp_matches(text, '\bsk-[A-Za-z0-9_-]{20,}') as sk, regexp_matches(text, '\bxox[abprs]-[A-Za-z0-9-]{10,}') as xox, regexp_matches(text, '\beyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,}') as jwt from documents""")
+def secret_scan(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", *(gates.has(F.col("text"), p).alias(n) for n, p in zip(("pem", "aws", "gh", "sk", "xox", "jwt"), gates.SECRETS)))
+
+
+_any = lambda ps: " or ".join("regexp_matches(text, '" + p.replace("'", "''").replace("\\z", "$") + "')" for p in ps)
+
+
+@query(f"""select doc_id, {_any([gates.CARD_NUMBER])} as card, {_any([gates.SECRET_STATEMENT])} as statement, {_any(gates.TRANSIENT)} as transient, {_any(gates.PERSONAL)} as personal, {_any(gates.ORGANIZATION)} as organization,
+{_any([gates.SMALL_TALK])} as small_talk, case {" ".join(f"when {_any([p])} then '{c}'" for p, c in gates.CATEGORY_RULES)} else 'fact' end as category, case when {_any([gates.IMPORTANCE_5])} then 5 when {_any([gates.IMPORTANCE_4])} then 4 else 3 end as importance from documents""")
+def gate_flags(spark, sf):
+    t = F.col("text")
+    return read(spark, sf, "documents").select("doc_id", gates.has(t, gates.CARD_NUMBER).alias("card"), gates.has(t, gates.SECRET_STATEMENT).alias("statement"), gates.any_of(t, gates.TRANSIENT).alias("transient"), gates.any_of(t, gates.PERSONAL).alias("personal"), gates.any_of(t, gates.ORGANIZATION).alias("organization"), gates.has(t, gates.SMALL_TALK).alias("small_talk"), gates.category(t).alias("category"), gates.importance(t).alias("importance"))
+
+
+@query()
+def gate_decide(spark, sf):
+    """The whole gate over the last user message of each conversation; look-ahead has no RE2 form."""
+    k = latest_user_text(spark, sf)
+    return k.select("conv_id", gates.heuristic_gate(F.col("user_text"), F.lit("personal"), F.array().cast("array<string>")).alias("g")).select("conv_id", "g.*")
+
+
+@query("select conv_id, max_by(text, turn) as user_text from conversations where role = 'user' group by 1")
+def latest_user_text(spark, sf):
+    return read(spark, sf, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("user_text"))
+
+
+@query("""with t as (select conv_id, turn, role, length(case when length(text) > 280 then substr(text, 1, 279) || '…' else text end) + 3 as n from conversations)
+select conv_id, turn, sum(n)::bigint as used from (select a.conv_id, a.turn, b.n from t a join t b on a.conv_id = b.conv_id and b.turn <= a.turn) group by 1, 2 having sum(n) <= 1500""")
+def char_budget(spark, sf):
+    """Turns that fit a budget of characters, each clipped, with what is used up to them."""
+    from tesserae.adapters import within_budget
+
+    return within_budget(read(spark, sf, "conversations"), "conv_id", "turn", "text", 280, 1500, 3).select("conv_id", "turn", "used")
+
+
+@query()
+def recall_flagship(spark, sf):
+    """Whole recall of the queries: anchors, walk, signals, scores, order. Its parts have oracles of their own."""
+    from .recall import recall
+
+    d = V.documents(spark, sf).withColumn("entities", F.array("source"))
+    q = V.queries(spark).withColumn("intent", scoring.detect_intent(F.col("query"))).withColumn("entities", F.array().cast("array<string>"))
+    return recall(d, V.edges(spark, sf), q, limit=10).select("query_id", "place", "id", r6("score").alias("score"), "via")
