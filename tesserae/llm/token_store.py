@@ -103,11 +103,8 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document's ids."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+def _marks(ids: np.ndarray) -> np.ndarray:
+    """Where the rolling hash of the last WINDOW ids of a flat array has its low bits zero."""
     h = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
     power, step = 0xBF58476D1CE4E5B9, 1
@@ -115,28 +112,42 @@ def cuts(ids: np.ndarray) -> list[int]:
         nxt = h.copy()
         nxt[step:] += h[:-step] * np.uint64(power)
         h, power, step = nxt, power * power % (1 << 64), step * 2
-    marks = (np.flatnonzero(((h >> np.uint64(40)) & np.uint64(MASK)) == 0) + 1).tolist()
-    out, last = [], 0
-    for m in [*marks, n]:
-        while m - last > MOST:
-            last += MOST
-            out.append(last)
-        if m - last >= LEAST or (m == n and m > last):
-            out.append(m)
-            last = m
+    return np.flatnonzero(((h >> np.uint64(40)) & np.uint64(MASK)) == 0) + 1
+
+
+def cuts(ids: np.ndarray, bounds: list[int]) -> list[list[int]]:
+    """Ends of the chunks of each document in a flat array of ids; bounds are the documents' ends.
+
+    A mark counts only LEAST or more ids after a document's start, and LEAST > WINDOW, so what
+    stands before a document does not matter.
+    """
+    marks = _marks(ids)
+    first = np.searchsorted(marks, [0, *bounds]).tolist()
+    marks, out, last = marks.tolist(), [], 0
+    for i, n in enumerate(bounds):
+        own = []
+        for m in [*(marks[first[i]:first[i + 1]] if n - last > LEAST else ()), n]:
+            while m - last > MOST:
+                last += MOST
+                own.append(last)
+            if m - last >= LEAST or (m == n and m > last):
+                own.append(m)
+                last = m
+        out.append(own)
     return out
 
 
 _PACKER = None
 
 
-def pack(raw: bytes, width: int) -> bytes:
+def pack(planes: bytes) -> bytes:
+    """Planes of bytes (all low ones, then all next ones) compressed."""
     import zstandard
 
     global _PACKER
     if _PACKER is None:
         _PACKER = zstandard.ZstdCompressor(level=1, write_content_size=True)
-    return _PACKER.compress(np.frombuffer(raw, np.uint8).reshape(-1, width).T.tobytes())
+    return _PACKER.compress(planes)
 
 
 def unpack(data: bytes, width: int) -> np.ndarray:
@@ -182,31 +193,39 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
     def run(batches):
         from pyspark import TaskContext
 
+        import gc
+
+        gc.set_threshold(200_000, 20, 100)  # the memo is millions of objects without cycles
         enc, seen, serial, task = encoder(tokenizer_path), set(), 0, TaskContext.get().partitionId()
         end = b"" if end_id is None else np.array([end_id]).astype(enc.kind).tobytes()
         for whole in batches:
             for b in slices(whole, "t", 2 << 20):
                 rows: list[tuple] = []
-                for doc, raw in zip(b.column("doc_id").to_pylist(), enc.encode([t or "" for t in b.column("t").to_pylist()])):
-                    ids = np.frombuffer(raw + end, enc.kind)
-                    own, last = [], 0
-                    for c in cuts(ids):
-                        k = key_of(ids[last:c])
+                raw = [x + end for x in enc.encode([t or "" for t in b.column("t").to_pylist()])]
+                ids = np.frombuffer(b"".join(raw), enc.kind)
+                wide = memoryview(ids.astype("<u4").tobytes())
+                planes = [p.tobytes() for p in ids.view(np.uint8).reshape(-1, enc.width).T]
+                bounds = np.cumsum([len(x) // enc.width for x in raw]).tolist()
+                last = 0
+                for doc, n, ends in zip(b.column("doc_id").to_pylist(), bounds, cuts(ids, bounds)):
+                    own, first = [], last
+                    for c in ends:
+                        k = hashlib.blake2b(wide[4 * last:4 * c], digest_size=20).digest()
                         own.append(k)
                         if k not in seen:
                             if len(seen) > 500_000:
                                 seen.clear()
                             seen.add(k)
-                            rows.append((1, k, c - last, pack(ids[last:c].tobytes(), enc.width), None, None))
+                            rows.append((1, k, c - last, pack(b"".join([p[last:c] for p in planes])), None, None))
                         last = c
-                    rows.append((0, b"doc" + task.to_bytes(6, "big") + serial.to_bytes(7, "big"), len(ids), None, own, doc))
+                    rows.append((0, b"doc" + task.to_bytes(6, "big") + serial.to_bytes(7, "big"), n - first, None, own, doc))
                     serial += 1
                 cols = list(zip(*rows))
                 kinds = (pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.binary()), b.schema.field("doc_id").type)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["kind", "key", "n", "data", "chunks", "doc_id"])
 
     staged = base.mapInArrow(run, f"{_STAGED}, doc_id {kind}")
-    staged.dropDuplicates(["key"]).write.mode("overwrite").partitionBy("kind").option("compression", "zstd").parquet(f"{path}/chunks")
+    staged.dropDuplicates(["key"]).write.mode("overwrite").partitionBy("kind").option("compression", "none").parquet(f"{path}/chunks")
     _write_recipes(spark, path, kind)
 
 
