@@ -92,8 +92,9 @@ def _matrix(col) -> np.ndarray:
     return flat.reshape(len(col), -1) if len(col) else flat.reshape(0, 1)
 
 
-def _bytes(x: np.ndarray) -> list[bytes]:
-    return [r.tobytes() for r in np.ascontiguousarray(x)]
+def _bytes(x: np.ndarray, kind: str) -> list[bytes]:
+    """Rows as bytes; kind is that of the column, so single precision stays single, exactly."""
+    return [r.tobytes() for r in np.ascontiguousarray(x.astype(kind))]
 
 
 def clean(df: DataFrame, id_col: str, vec_col: str, dims: int | None = None) -> DataFrame:
@@ -119,6 +120,7 @@ def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_co
     spark = df.sparkSession
     ship(spark)
     schema = "query_id bigint, rank int, vec_id bigint, score double"
+    kind = "<f4" if df.schema[vec_col].dataType.simpleString() == "array<float>" else "<f8"
     base = clean(df, id_col, vec_col)
     lengths = base.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     if lengths is None:
@@ -147,7 +149,7 @@ def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_co
             at = f.leaves(x)
             slots = (at + np.arange(at.shape[1]) * leaves).astype(np.int32)
             ends = np.arange(0, slots.size + 1, slots.shape[1], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("ids"), pa.array(_bytes(x), pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(slots.ravel()))], names=["ids", "v", "slots"])
+            yield pa.RecordBatch.from_arrays([b.column("ids"), pa.array(_bytes(x, kind), pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(slots.ravel()))], names=["ids", "v", "slots"])
 
     placed = checkpoint(entries.mapInArrow(place, "ids array<bigint>, v binary, slots array<int>"))
     sizes = np.zeros(trees * leaves, np.int64)
@@ -164,7 +166,7 @@ def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_co
         for b in batches:
             x = _matrix(b.column("v"))
             slots = [[t * leaves + leaf for t, leaf in f.search(q, sizes, enough)] for q in x]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(_bytes(x), pa.binary()), pa.array(slots, pa.list_(pa.int32()))], names=["id", "v", "slots"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(_bytes(x, kind), pa.binary()), pa.array(slots, pa.list_(pa.int32()))], names=["id", "v", "slots"])
 
     queries = base.where(is_query).distinct()
     asked = queries.mapInArrow(visit, "id bigint, v binary, slots array<int>").select("id", "v", F.explode("slots").alias("s"))
@@ -174,8 +176,8 @@ def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_co
         for b in batches:
             for i in range(b.num_rows):
                 rows, asks = b.column("rows")[i].values, b.column("asks")[i].values
-                x = np.frombuffer(b"".join(rows.field("v").to_pylist()), np.float64).reshape(len(rows), dims)
-                q = np.frombuffer(b"".join(asks.field("v").to_pylist()), np.float64).reshape(len(asks), dims)
+                x = np.frombuffer(b"".join(rows.field("v").to_pylist()), kind).astype(np.float64).reshape(len(rows), dims)
+                q = np.frombuffer(b"".join(asks.field("v").to_pylist()), kind).astype(np.float64).reshape(len(asks), dims)
                 ids, own = rows.field("ids").to_pylist(), asks.field("id").to_pylist()
                 score = np.einsum("qd,xd->qx", q, x, optimize=True)
                 top = min(k + 1, len(x))
