@@ -20,6 +20,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpoint
+
 THRESHOLD = 0.75
 MAX_TERMS = 2000
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
@@ -92,17 +94,13 @@ class Weights:
             w = F.when(same, a["w"] + weigh(t)).otherwise(weigh(t))
             return F.struct(t.alias("t"), w.alias("w"), (a["s"] + w * w - F.when(same, a["w"] * a["w"]).otherwise(F.lit(0.0))).alias("s"))
 
-        norm = F.aggregate(words, zero, add, lambda a: F.sqrt(a["s"]))
-        scored = []
-        for i, (_, v) in enumerate(self.vectors):
-            part = F.create_map(*(F.lit(x) for kv in sorted((t, x * self.idf[t]) for t, x in v.items()) for x in kv))
-            dot = F.aggregate(words, F.lit(0.0), _adder(part))
-            scored.append(F.struct(F.round(dot / F.greatest(norm, F.lit(1e-9)), 6).alias("score"), F.lit(-i).alias("order")))
-        return F.array_max(F.array(*scored))
-
-
-def _adder(part: Column):
-    return lambda a, t: a + F.coalesce(part[t], F.lit(0.0))
+        norm = F.greatest(F.aggregate(words, zero, add, lambda a: F.sqrt(a["s"])), F.lit(1e-9))
+        # what a term adds to the products with all templates at once
+        shares = {t: [v.get(t, 0.0) * x for _, v in self.vectors] for t, x in self.idf.items()}
+        adds = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for kv in sorted(shares.items()) for x in kv))
+        known = F.filter(terms_of(unit), lambda t: t.isin(*sorted(shares)))
+        dots = F.aggregate(known, F.array(*(F.lit(0.0) for _ in self.vectors)), lambda a, t: F.zip_with(a, adds[t], lambda x, y: x + y))
+        return F.array_max(F.transform(dots, lambda d, i: F.struct(F.round(d / norm, 6).alias("score"), (-i).alias("order"))))
 
 
 def scan(df: DataFrame, path_col: str = "path", text_col: str = "text", keep: list[str] | None = None, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -125,7 +123,7 @@ def scan(df: DataFrame, path_col: str = "path", text_col: str = "text", keep: li
     head = F.when(F.coalesce(good("__head"), F.lit(False)), F.col("__head"))
     whole = F.coalesce(good("__whole"), F.lit(False)) | (head.isNotNull() & F.coalesce(F.col("__p").rlike(FILE_NAME), F.lit(False)))
     folder = F.regexp_replace("__p", "/?[^/]*$", "")
-    rows = rows.select(*[c for c in rows.columns if c.startswith("__k")], "__p", folder.alias("__d"), head.alias("__own"), whole.alias("__file"))
+    rows = checkpoint(rows.select(*[c for c in rows.columns if c.startswith("__k")], "__p", folder.alias("__d"), head.alias("__own"), whole.alias("__file")))  # without texts; it is read three times
     files = rows.where("__file and __d is not null").groupBy(F.col("__d").alias("a")).agg(F.max("__own").alias("lic")).where("lic is not null")
     parts = F.split("__d", "/")
     up = rows.where("__d is not null and __own is null").select("__d").distinct().select("__d", F.posexplode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")))).alias("depth", "a"))
