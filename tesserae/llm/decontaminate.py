@@ -242,3 +242,16 @@ def _scanner(sent, doc_id: str, name: str, keep: list[str], last: bool):
                 yield pa.RecordBatch.from_arrays(cols, names=[*(keep or [doc_id]), "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids"])
 
     return run
+
+
+ORACLE = r"""
+with d as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+i as (select distinct cast(item_id as varchar) as item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where item_id is not null and text is not null),
+iw as (select distinct item, n, array_to_string(w[k:k + n - 1], ' ') as win from (select item, w, least(10, len(w)) as n, unnest(range(1, len(w) - least(10, len(w)) + 2)) as k from i where len(w) > 0)),
+sizes as (select distinct n from iw),
+dw as (select rid, n, k, array_to_string(w[k:k + n - 1], ' ') as win from (select rid, w, n, unnest(range(1, len(w) - n + 2)) as k from d, sizes where len(w) >= n)),
+met as (select rid, k, n, item from dw join iw using (n, win)),
+hit as (select rid, count(distinct p) as n_hit from (select rid, unnest(range(k, k + n)) as p from (select distinct rid, k, n from met)) group by 1),
+its as (select rid, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct rid, item from met) group by 1)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hit using (rid) left join its using (rid)"""
