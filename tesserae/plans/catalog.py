@@ -294,21 +294,27 @@ def near_dups(spark, sf):
 
 # Graph
 
-def _walk_sql(intent: str) -> str:
+def _walk_parts(intent: str, start: str) -> tuple[list[str], int]:
+    """Common tables of a walk, hop by hop, from `start` (query_id, id, score, via)."""
     beam, depth, visited = TRAVERSAL[intent]
-    w = INTENT_WEIGHTS[intent]
-    weigh = "case edge_type " + " ".join(f"when '{k}' then {v}" for k, v in w.items()) + " end"
-    parts = [f"{V.D0}, {V.G}", "a0 as (select id, 1.0::double / (1 + row_number() over (order by id)) as score from d where id % 250 = 3)", "f0 as (select id as anchor, id, score from a0)", "s0 as (select anchor, id from f0)", "b0 as (select id, score, 'keyword' as via from a0)"]
+    weigh = "case edge_type " + " ".join(f"when '{k}' then {v}" for k, v in INTENT_WEIGHTS[intent].items()) + " end"
+    parts = [f"b0 as (select query_id, id, score, via from {start})", "f0 as (select query_id, id as anchor, id, score from b0)", "s0 as (select query_id, anchor, id from f0)"]
     for h in range(1, depth + 1):
         p = h - 1
-        parts += [f"r{h} as (select f.anchor, u.b as id, u.edge_type, f.score + {weigh} * u.weight as score from f{p} f join u on u.a = f.id)",
-                  f"t{h} as (select id, max(score) as score, min_by(edge_type, (-score, anchor, edge_type)) as via from r{h} group by 1)",
-                  f"b{h} as (select coalesce(b.id, t.id) as id, case when t.score > coalesce(b.score, -1e300) then t.score else b.score end as score, case when t.score > coalesce(b.score, -1e300) then t.via else b.via end as via from b{p} b full join t{h} t on b.id = t.id)",
-                  f"n{h} as (select anchor, id, score, row_number() over (partition by anchor order by score desc, id) as k from (select anchor, id, max(score) as score from r{h} where (anchor, id) not in (select anchor, id from s{p}) group by 1, 2))",
-                  f"k{h} as (select n.* from n{h} n join (select anchor, count(*) as c from s{p} group by 1) c using (anchor) where n.k <= {visited} - c.c)",
-                  f"s{h} as (select anchor, id from s{p} union all select anchor, id from k{h})",
-                  f"f{h} as (select k.anchor, k.id, k.score from k{h} k join (select anchor, count(*) as m from s{h} group by 1) c using (anchor) where k.k <= {beam} and m < {visited})"]
-    return "with " + ",\n".join(parts) + f" select id, round(score, 6) as score, via from (select *, row_number() over (order by score desc, id) as n from b{depth}) where n <= 500"
+        parts += [f"r{h} as (select f.query_id, f.anchor, u.b as id, u.edge_type, f.score + {weigh} * u.weight as score from f{p} f join u on u.a = f.id)",
+                  f"t{h} as (select query_id, id, max(score) as score, min_by(edge_type, (-score, anchor, edge_type)) as via from r{h} group by 1, 2)",
+                  f"b{h} as (select coalesce(b.query_id, t.query_id) as query_id, coalesce(b.id, t.id) as id, case when t.score > coalesce(b.score, -1e300) then t.score else b.score end as score, case when t.score > coalesce(b.score, -1e300) then t.via else b.via end as via from b{p} b full join t{h} t on b.query_id = t.query_id and b.id = t.id)",
+                  f"n{h} as (select query_id, anchor, id, score, row_number() over (partition by query_id, anchor order by score desc, id) as k from (select query_id, anchor, id, max(score) as score from r{h} r where not exists (select 1 from s{p} s where s.query_id = r.query_id and s.anchor = r.anchor and s.id = r.id) group by 1, 2, 3))",
+                  f"k{h} as (select n.* from n{h} n join (select query_id, anchor, count(*) as c from s{p} group by 1, 2) c using (query_id, anchor) where n.k <= {visited} - c.c)",
+                  f"s{h} as (select query_id, anchor, id from s{p} union all select query_id, anchor, id from k{h})",
+                  f"f{h} as (select k.query_id, k.anchor, k.id, k.score from k{h} k join (select query_id, anchor, count(*) as m from s{h} group by 1, 2) c using (query_id, anchor) where k.k <= {beam} and m < {visited})"]
+    parts.append(f"walked as (select * from b{depth} qualify row_number() over (partition by query_id order by score desc, id) <= 500)")
+    return parts, depth
+
+
+def _walk_sql(intent: str) -> str:
+    start = "(select 1 as query_id, id, 1.0::double / (1 + row_number() over (order by id)) as score, 'keyword' as via from d where id % 250 = 3)"
+    return f"with {V.D0}, {V.G}, " + ",\n".join(_walk_parts(intent, start)[0]) + " select id, round(score, 6) as score, via from walked"
 
 
 def _walk(spark, sf, intent):
@@ -449,11 +455,18 @@ def char_budget(spark, sf):
     return within_budget(read(spark, sf, "conversations"), "conv_id", "turn", "text", 280, 1500, 3).select("conv_id", "turn", "used")
 
 
-@query()
+_RECALL = ",\n".join(_walk_parts("GENERAL", "anchors")[0])
+
+
+@query(f"""with {_RRF}, {V.G}, {_RECALL},
+c as (select w.query_id, w.id, w.score as graph_raw, w.via, coalesce(kw.keyword, 0) as keyword, d.importance from walked w join d using (id) left join kw on kw.query_id = w.query_id and kw.id = w.id),
+m as (select *, min(case when keyword > 0 then graph_raw end) over (partition by query_id) as lo, max(case when keyword > 0 then graph_raw end) over (partition by query_id) as hi from c),
+s as (select *, 0.45 * keyword + 0.30 * case when keyword > 0 and hi > lo then (graph_raw - lo) / (hi - lo) else 0 end as score from m)
+select query_id, row_number() over (partition by query_id order by score desc, importance desc, graph_raw desc, id) as place, id, round(score, 6) as score, via from s qualify place <= 10""")
 def recall_flagship(spark, sf):
-    """Whole recall of the queries: anchors, walk, signals, scores, order. Its parts have oracles of their own."""
+    """Whole recall of the queries (of general intent): anchors, walk, signals, scores, order."""
     from .recall import recall
 
     d = V.documents(spark, sf).withColumn("entities", F.array("source"))
     q = V.queries(spark).withColumn("intent", scoring.detect_intent(F.col("query"))).withColumn("entities", F.array().cast("array<string>"))
-    return recall(d, V.edges(spark, sf), q, limit=10).select("query_id", "place", "id", r6("score").alias("score"), "via")
+    return recall(d, V.edges(spark, sf), q, limit=10).select("query_id", F.col("place").cast("bigint").alias("place"), "id", r6("score").alias("score"), "via")
