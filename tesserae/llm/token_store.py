@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,14 +52,22 @@ class Encoder:
         self.plain = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding")
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         self.memo: dict[str, bytes] = {}
+        # the byte-level alphabet: printable bytes stand for themselves, the others for 256 and on
+        shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        hidden = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: 256 + i for i, b in enumerate(hidden) if b}
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
 
     def _fill(self, words: list[str]) -> dict[str, bytes]:
-        got = self.tok.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(got.ids, np.int64).astype(self.kind)
-        at = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(words) + 1)).tolist()
-        return {w: ids[a:b].tobytes() for w, a, b in zip(words, at, at[1:])}
+        """Encodings of pre-tokens (without NUL) by the library's model, from their bytes in its alphabet."""
+        spelt = "\0".join(words).encode().decode("latin-1").translate(self.alphabet).split("\0")
+        tokenize = self.tok.model.tokenize
+        got = [[t.id for t in tokenize(w)] for w in spelt]
+        ends = np.cumsum([0, *map(len, got)]).tolist()
+        flat = memoryview(np.fromiter(chain.from_iterable(got), np.int64, ends[-1]).astype(self.kind).tobytes())
+        n = self.width
+        return {w: bytes(flat[n * a:n * b]) for w, a, b in zip(words, ends, ends[1:])}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of self.width bytes."""
