@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 THRESHOLD = 0.75
+SALTS = 32
 MAX_TERMS = 2000
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 FILE_NAME = r"(?i)(^|/)(un)?(licen[sc]e|copying|notice)[^/]*$"
@@ -85,22 +86,24 @@ class Weights:
     def best(self, unit: Column) -> Column:
         """Struct (score, order) of the nearest template; order is minus its number."""
         idf = F.create_map(*(F.lit(x) for kv in sorted(self.idf.items()) for x in kv))
-        weigh = lambda t: F.coalesce(idf[t], F.lit(self.other))
+        weigh = lambda t: F.when(t.isin(*sorted(self.idf)), idf[t]).otherwise(F.lit(self.other))  # noqa: E731  # a map is searched key by key, a set by hash
         words = F.array_sort(terms_of(unit))
         zero = F.struct(F.lit("").alias("t"), F.lit(0.0).alias("w"), F.lit(0.0).alias("s"))
 
-        def add(a, t):
-            same = t == a["t"]
-            w = F.when(same, a["w"] + weigh(t)).otherwise(weigh(t))
-            return F.struct(t.alias("t"), w.alias("w"), (a["s"] + w * w - F.when(same, a["w"] * a["w"]).otherwise(F.lit(0.0))).alias("s"))
+        def add(a, x):
+            same = x["t"] == a["t"]
+            w = F.when(same, a["w"] + x["w"]).otherwise(x["w"])
+            return F.struct(x["t"].alias("t"), w.alias("w"), (a["s"] + w * w - F.when(same, a["w"] * a["w"]).otherwise(F.lit(0.0))).alias("s"))
 
-        norm = F.greatest(F.aggregate(words, zero, add, lambda a: F.sqrt(a["s"])), F.lit(1e-9))
+        weighed = F.transform(words, lambda t: F.struct(t.alias("t"), weigh(t).alias("w")))
+        norm = F.greatest(F.aggregate(weighed, zero, add, lambda a: F.sqrt(a["s"])), F.lit(1e-9))
         # what a term adds to the products with all templates at once
         shares = {t: [v.get(t, 0.0) * x for _, v in self.vectors] for t, x in self.idf.items()}
         adds = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for kv in sorted(shares.items()) for x in kv))
         known = F.filter(terms_of(unit), lambda t: t.isin(*sorted(shares)))
         dots = F.aggregate(known, F.array(*(F.lit(0.0) for _ in self.vectors)), lambda a, t: F.zip_with(a, adds[t], lambda x, y: x + y))
-        return F.array_max(F.transform(dots, lambda d, i: F.struct(F.round(d / norm, 6).alias("score"), (-i).alias("order"))))
+        # the norm is bound as a lambda's argument, so that it is computed once and not for each template
+        return F.transform(F.array(norm), lambda n: F.array_max(F.transform(dots, lambda d, i: F.struct(F.round(d / n, 6).alias("score"), (-i).alias("order")))))[0]
 
 
 def scan(df: DataFrame, path_col: str = "path", text_col: str = "text", keep: list[str] | None = None, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -118,17 +121,52 @@ def scan(df: DataFrame, path_col: str = "path", text_col: str = "text", keep: li
     rows = df.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(keep or [])), F.col(path_col).cast("string").alias("__p"), F.col(text_col).cast("string").alias("__t"))
     some = text.rlike(w.pattern)
     units = F.filter(F.array_union(F.split(text, "\n"), F.split(text, r"\n[ \t\r]*\n")), lambda u: u.rlike(w.pattern))
-    rows = rows.withColumn("__head", F.when(some, F.array_max(F.transform(units, w.best)))).withColumn("__whole", F.when(some, w.best(text))).drop("__t")
-    good = lambda c: F.col(c)["score"] >= threshold
-    head = F.when(F.coalesce(good("__head"), F.lit(False)), F.col("__head"))
-    whole = F.coalesce(good("__whole"), F.lit(False)) | (head.isNotNull() & F.coalesce(F.col("__p").rlike(FILE_NAME), F.lit(False)))
+    named = F.coalesce(F.col("__p").rlike(FILE_NAME), F.lit(False))
+
+    def read(s):
+        head, whole = (F.coalesce(s[c]["score"] >= threshold, F.lit(False)) for c in ("head", "whole"))
+        return F.struct(F.when(head, s["head"]).alias("own"), (whole | (head & named)).alias("file"))
+
+    # a lambda's argument is computed once, however often its body names it
+    both = F.struct(F.array_max(F.transform(units, w.best)).alias("head"), w.best(text).alias("whole"))
+    got = F.when(some, F.transform(F.array(both), read)[0])
     folder = F.regexp_replace("__p", "/?[^/]*$", "")
-    rows = checkpoint(rows.select(*[c for c in rows.columns if c.startswith("__k")], "__p", folder.alias("__d"), head.alias("__own"), whole.alias("__file")))  # without texts; it is read three times
+    rows = checkpoint(rows.select(*[c for c in rows.columns if c.startswith("__k")], "__p", folder.alias("__d"), got.alias("__g")))  # without texts; it is read three times
+    salt = F.pmod(F.xxhash64("__p"), F.lit(SALTS)).alias("__s")
+    rows = rows.select(*[c for c in rows.columns if c.startswith("__k")], "__p", "__d", F.col("__g.own").alias("__own"), F.coalesce("__g.file", F.lit(False)).alias("__file"), salt)
     files = rows.where("__file and __d is not null").groupBy(F.col("__d").alias("a")).agg(F.max("__own").alias("lic")).where("lic is not null")
     parts = F.split("__d", "/")
     up = rows.where("__d is not null and __own is null").select("__d").distinct().select("__d", F.posexplode(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/")))).alias("depth", "a"))
     near = up.join(files, "a").groupBy(F.col("__d").alias("d")).agg(F.max_by(F.struct("a", "lic"), "depth").alias("got"))
-    met = rows.join(near, (rows["__d"] == near["d"]) & rows["__own"].isNull(), "left")
+    near = near.select("d", "got", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))  # files of one directory are dealt to so many tasks
+    met = rows.join(near, (rows["__d"] == near["d"]) & (rows["__s"] == near["s"]) & rows["__own"].isNull(), "left")
     lic = F.coalesce("__own", F.col("got.lic"))
     how = F.when(F.col("__own").isNotNull(), F.when(F.col("__file"), "file").otherwise("header")).when(F.col("got").isNotNull(), "inherited").otherwise("none")
     return met.select(*(F.col(f"__k{i}").alias(c) for i, c in enumerate(keep or [])), F.col("__p").alias("path"), F.get(names, F.abs(lic["order"])).alias("license"), lic["score"].alias("score"), how.alias("how"), F.when(F.col("__own").isNull(), F.col("got.a")).alias("from_dir"))
+
+
+def oracle_sql(templates=TEMPLATES, threshold: float = THRESHOLD) -> str:
+    """The registered query in DuckDB's SQL: documents at source/lang/doc_id, whose names are never a licence file's."""
+    values = ", ".join(f"({k}, '{n}', '{t}')" for k, (n, t) in enumerate(templates))
+    terms = lambda c: f"regexp_extract_all(lower({c}), '{TERM}')"
+    return f"""
+with t as (select * from (values {values}) as v(k, name, text)),
+tf as (select k, term, count(*) as n from (select k, unnest({terms("text")}) as term from t) group by 1, 2),
+docs as (select row_number() over () as rid, doc_id, coalesce(text, '') as text, coalesce(source, '_') as a, coalesce(source, '_') || '/' || coalesce(lang, '_') as dir, coalesce(source, '_') || '/' || coalesce(lang, '_') || '/' || coalesce(cast(doc_id as varchar), '_') as path from documents),
+n as (select count(*) as n from docs),
+dfs as (select term, count(*) as df from (select unnest(list_distinct({terms("text")})) as term from docs) where term in (select term from tf) group by 1),
+idf as (select term, ln((1 + (select n from n)) / (1.0 + coalesce(df, 0))) + 1 as w from (select distinct term from tf) left join dfs using (term)),
+tv as (select k, term, tf.n * w as x, sqrt(sum((tf.n * w) * (tf.n * w)) over (partition by k)) as norm from tf join idf using (term)),
+units as (select rid, unnest(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\n[ \t\r]*\n'))) as u, false as whole from docs union all select rid, text, true from docs),
+few as (select row_number() over () as uid, rid, whole, {terms("u")} as words from units),
+held as (select * from few where list_has_any(words, (select list(distinct term) from tf))),
+uf as (select uid, term, count(*) as n from (select uid, unnest(words) as term from held) group by 1, 2),
+uv as (select uid, term, uf.n * coalesce(w, ln(1.0 + (select n from n)) + 1) as x from uf left join idf using (term)),
+un as (select uid, sqrt(sum(x * x)) as norm from uv group by 1),
+sc as (select uid, k, round(sum(uv.x * tv.x / tv.norm) / any_value(un.norm), 6) as score from uv join tv using (term) join un using (uid) group by 1, 2),
+best as (select rid, whole, max(score) as score, max_by(k, (score, -k)) as k from sc join held using (uid) group by 1, 2),
+own as (select rid, score, k, exists (select 1 from best w where w.rid = b.rid and w.whole and w.score >= {threshold}) as file from best b where not whole and score >= {threshold}),
+files as (select dir, max_by(k, (score, -k)) as k, max(score) as score from own join docs using (rid) where file group by 1),
+near as (select d.dir, max_by(f.dir, length(f.dir)) as from_dir, max_by(f.k, length(f.dir)) as k, max_by(f.score, length(f.dir)) as score from (select distinct dir, a from docs) d join files f on f.dir in (d.dir, d.a, '') group by 1)
+select doc_id, path, t.name as license, coalesce(own.score, near.score) as score, case when own.file then 'file' when own.rid is not null then 'header' when near.k is not null then 'inherited' else 'none' end as how, case when own.rid is null then from_dir end as from_dir
+from docs left join own using (rid) left join near using (dir) left join t on t.k = coalesce(own.k, near.k)"""

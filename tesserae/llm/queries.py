@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from . import license_scan, sharding, toxicity, url_filter
 from .common import shared_dir, table
+from .decontaminate import ORACLE as DECONTAMINATION
 from .decontaminate import decontaminate
 from .forest import nearest
 from .sentencepiece_codec import encode_decode
@@ -75,4 +76,4 @@ QUERIES = {
     "op9_nearest": op9_nearest,
     "op10_license_scan": op10_license_scan,
 }
-ORACLES: dict[str, str] = {"op1_url_filters": url_filter.oracle_sql(), "op5_sharding": sharding.oracle_sql()}
+ORACLES: dict[str, str] = {"op1_url_filters": url_filter.oracle_sql(), "op4_decontamination": DECONTAMINATION, "op5_sharding": sharding.oracle_sql(), "op10_license_scan": license_scan.oracle_sql()}
