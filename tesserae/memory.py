@@ -442,6 +442,37 @@ class Memory:
         self.store.commit(changes)
         return out
 
+    def peek(self, key: str):
+        """What `once` has stored for a key, or None."""
+        kept = self.scope_.read(self.store.latest("operations"), by_user=False).where(F.col("key") == key).first()
+        return json.loads(kept.result) if kept else None
+
+    def receipt(self, limit: int = C.LOG_LIMIT) -> list[dict]:
+        """The op log with hashes in place of ids and details."""
+        from tesserae.sources.importer import receipt_rows
+
+        validate.limit(limit, C.LOG_MAX)
+        rows = self.scope_.read(self.store.latest("oplog")).orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+        return [r.asDict() for r in receipt_rows(rows).collect()]
+
+    def import_draft(self, draft: dict, deduplicate: bool = True) -> dict:
+        """Remember a parsed draft's rows one by one, then link them; links of rows that fell together are left out."""
+        from tesserae.sources.importer import check_draft
+
+        check_draft(draft)
+        out = []
+        for i in draft["insights"]:
+            more = {k: i[k] for k in ("category", "importance", "tags", "entities", "created_at") if i.get(k) is not None}
+            saved = self.remember(i["content"], source=i.get("source") or draft.get("source") or "import", deduplicate=deduplicate, **more)
+            out.append({"id": saved["insight"]["id"], "action": saved["action"]})
+        n = 0
+        for e in draft.get("edges") or []:
+            a, b = out[e["source_index"]]["id"], out[e["target_index"]]["id"]
+            if a != b:
+                self.link(a, b, e["edge_type"], e.get("weight", 0.5), {"reason": e["reason"]} if e.get("reason") else None)
+                n += 1
+        return {"insights": out, "edges": n}
+
     def once(self, key: str, fn: Callable[[], object]) -> dict:
         """fn's JSON result, run at most once for a key; a failure stores nothing. Keys are shared by a namespace's users."""
         if not isinstance(key, str) or not 1 <= len(key) <= 512:

@@ -12,7 +12,7 @@ from tesserae.constants import ENTITY_TERMS as WHAT_TERMS
 from tesserae.functions import diff, entities, gates, scoring, text
 from tesserae.functions import similarity as S
 from tesserae.operators import edges as E
-from tesserae.operators import graph, retrieval
+from tesserae.operators import graph, retrieval, temporal
 
 from . import views as V
 from .session import checkpoint, read
@@ -210,6 +210,27 @@ def asof_prev_next(spark, sf):
     return out.select("id", "prev_id", F.when(F.col("a.created_at") > F.col("created_at"), F.col("a.id")).alias("next_id"))
 
 
+@query(f"""with {V.E}, p as (select * from e where source = 'purchase'), c as (select * from e where source = 'click')
+select p.id as purchase_id, c.id as click_id from p join c on p.namespace = c.namespace and abs(epoch_us(p.created_at) - epoch_us(c.created_at)) <= 3600000000""")
+def interval_join(spark, sf):
+    """Clicks of a user within an hour of a purchase, before or after."""
+    e = V.events(spark, sf)
+    p = e.where("source = 'purchase'").select("namespace", F.col("id").alias("purchase_id"), F.col("created_at").alias("at"))
+    c = e.where("source = 'click'").select("namespace", F.col("id").alias("click_id"), F.col("created_at").alias("clicked"))
+    return temporal.interval_join(p, c, ["namespace"], "at", "clicked", 3_600_000_000).select("purchase_id", "click_id")
+
+
+@query(f"""with {V.E}, p as (select * from e where source = 'purchase'), c as (select * from e where source = 'click')
+select p.id, (select max_by(c.id, (c.created_at, -c.id)) from c where c.namespace = p.namespace and c.created_at <= p.created_at) as before_id,
+(select min_by(c.id, (c.created_at, c.id)) from c where c.namespace = p.namespace and c.created_at > p.created_at) as after_id from p""")
+def asof_joins(spark, sf):
+    """The same neighbours as asof_prev_next by the general operator."""
+    e = V.events(spark, sf)
+    p, c = e.where("source = 'purchase'").select("id", "namespace", "created_at"), e.where("source = 'click'").select("namespace", F.col("created_at").alias("t"), F.col("id").alias("click"))
+    one = temporal.asof(p, c, ["namespace"], "created_at", "t", "click", "before_id")
+    return temporal.asof(one, c, ["namespace"], "created_at", "t", "click", "after_id", forward=True).select("id", "before_id", "after_id")
+
+
 _NEAR = f"with {V.V}, n as (select q.id as query_id, v.id, {V.COS.format(a='q.x', b='v.x')} as cosine, row_number() over (partition by q.id order by {V.COS.format(a='q.x', b='v.x')} desc, v.id) as rank from v, (select * from v where id % 100 = 0) q where v.id <> q.id qualify rank <= 5), p as (select * from n where cosine >= 0.4)"
 
 

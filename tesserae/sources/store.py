@@ -46,12 +46,12 @@ class Store:
         """Append the changes as one version."""
         version = self.version() + 1
         for name, rows in changes.items():
+            names = [f.split(" ")[0] for f in TABLES[name].split(", ")]
             if isinstance(rows, list):
                 if not rows:
                     continue
-                fields = [f.name for f in self.spark.createDataFrame([], TABLES[name]).schema]
-                rows = self.spark.createDataFrame([tuple(r.get(f) for f in fields) for r in rows], TABLES[name])
-            names = [f.name for f in self.spark.createDataFrame([], TABLES[name]).schema]
+                fields = names
+                rows = self.spark.createDataFrame([tuple(r.get(f) for f in fields) for r in rows], TABLES[name]).coalesce(1)
             if "gone" in names and "gone" not in rows.columns:
                 rows = rows.withColumn("gone", F.lit(False))
             if set(names) - set(rows.columns):

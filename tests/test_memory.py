@@ -63,7 +63,7 @@ def test_remember(memory):
 
 def test_recall(memory):
     got = memory.recall("dark mode editor", limit=5)
-    assert got["results"][0]["insight"]["content"].startswith("User prefers dark")
+    assert {h["insight"]["content"] for h in got["results"][:2]} == {ROWS[0][0], ROWS[1][0]}
     ids = [h["insight"]["id"] for h in got["results"]]
     assert [h["insight"]["id"] for h in memory.recall("dark mode editor", limit=5)["results"]] == ids
     why = memory.recall("why did we chose PostgreSQL", limit=3)
@@ -154,3 +154,65 @@ def test_draft(spark, tmp_path):
     assert importer.draft_edges(d).first().weight == 0.5
     with pytest.raises(ValidationError):
         importer.check_draft({"schema_version": "1", "insights": [{}], "edges": [{"source_index": 0, "target_index": 3, "edge_type": "causal"}]})
+
+
+def test_draft_import_and_receipt(engine):
+    m = engine.scope("t3", "draft")
+    draft = {"schema_version": "1", "source": "file", "insights": [{"content": "Alpha ships on Monday"}, {"content": "Beta ships on Friday", "importance": 5}, {"content": "alpha ships on monday"}],
+             "edges": [{"source_index": 0, "target_index": 1, "edge_type": "causal", "reason": "r"}, {"source_index": 0, "target_index": 2, "edge_type": "entity"}]}
+    got = m.import_draft(draft)
+    assert [i["action"] for i in got["insights"]] == ["added", "added", "skipped"] and got["edges"] == 1
+    rows = m.receipt()
+    assert {r["operation"] for r in rows} == {"remember", "remember_skipped", "link"} and all(r["id_hash"] for r in rows)
+
+
+def test_agent_workflow(engine):
+    from tesserae.adapters import AgentMemory, identity
+
+    m = engine.scope("t4", "agent")
+    a = AgentMemory(m, "s", "personal", budget=200)
+    assert a.propose("c0", "password: hunter2hunter2")["reasons"] == ["sensitive"]
+    first = a.propose("c1", "Dana is allergic to peanuts.")
+    assert first["status"] == "stored" and a.propose("c1", "Dana is allergic to  peanuts.") == first
+    assert a.propose("c2", "Today I'm working on the invoice bug.")["reasons"][-1] == "transient"
+    b = AgentMemory(m, "s", "personal", gate=lambda p: {"accept": True, "reasons": [], "supersedes": [x["id"] for x in p["related"]] + ["other"]})
+    assert b.propose("c3", "Dana is allergic to shellfish and peanuts now.")["superseded"] == [first["id"]]
+    got = a.turn_recall("op", [{"role": "user", "content": "allergic Dana"}])
+    assert len(got) == 1 and "shellfish" in got[0]["content"] and a.turn_recall("op", [{"role": "user", "content": "other"}]) == got
+    assert AgentMemory(m, "s", "personal", recall_filter=lambda q, ms: 1 / 0).turn_recall("op2", [{"role": "user", "content": "allergic Dana"}])
+    assert AgentMemory(m, "s", "personal", recall_filter=lambda q, ms: []).turn_recall("op3", [{"role": "user", "content": "allergic Dana"}]) == []
+    id = got[0]["id"].split(":")[-1]
+    assert a.forget("f", id) and a.forget("f", id) and m.get(id) is None
+    assert identity({"type": "user", "id": "u", "attributes": {"tenantId": "t"}})[0] == "t"
+    assert identity({"type": "user", "id": "u", "attributes": {"tenantId": ["t", "s"]}}) is None and identity(None) is None
+
+
+def test_embedding_connectors(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from tesserae.errors import EmbeddingError
+    from tesserae.sources.embedding import HttpProvider, TableProvider, embed_column
+
+    sent = []
+
+    def answer(payload, status=200):
+        def send(url, body, headers, timeout):
+            sent.append((url, body, headers))
+            return status, json.dumps(payload).encode()
+        return send
+
+    p = HttpProvider("llamacpp", dimensions=2, send=answer({"data": [{"embedding": [1, 2, 3]}]}))
+    assert p.embed("x", "query") == [1, 2] and sent[-1][1]["input"] == "search_query: x"
+    p = HttpProvider("openai", endpoint="http://h/v1/", dimensions=2, api_key="k", send=answer({"data": [{"embedding": [1, 2]}]}))
+    assert p.embed("x", "document") == [1, 2] and sent[-1][0] == "http://h/v1/embeddings" and sent[-1][2]["authorization"] == "Bearer k"
+    p = HttpProvider("ollama", dimensions=2, send=answer({"embeddings": [[1, 2]]}))
+    assert p.embed("x", "document") == [1, 2] and "dimensions" not in sent[-1][1]
+    for bad in (answer({"embeddings": [[1]]}), answer({}, 500), answer({"embeddings": []}), answer({"embeddings": [["a"]]})):
+        with pytest.raises(EmbeddingError):
+            HttpProvider("ollama", dimensions=2, send=bad).embed("x", "query")
+    t = TableProvider({"a": [1.0, 0.0], "query:a": [0.0, 1.0]}, 2)
+    assert t.embed("a", "query") == [0.0, 1.0]
+    got = spark.createDataFrame([("a",), (None,)], "t string").select(embed_column(t, F.col("t")).alias("v")).collect()
+    assert [r.v for r in got] == [[1.0, 0.0], None]
