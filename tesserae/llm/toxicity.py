@@ -6,6 +6,9 @@ toxic training texts and hardly ever in ordinary ones. A text is cut into overla
 is compressed with both, and what the toxic dictionary saves is its gain. A logistic calibration,
 fitted on gains of texts whose dictionaries had not seen them, turns a document's gains into a score.
 
+There are two such pairs, with much and with little ordinary content: where common syllables make up
+the toxic words as well, much of it explains them away, and little shows them better.
+
 Every window starts with a fixed ballast that both dictionaries end with, so that none is stored
 uncompressed, which would hide the lengths.
 """
@@ -25,6 +28,8 @@ GRAM, WINDOW, OVERLAP = 5, 64, 12
 BALLAST = bytes(range(128, 176))
 #: Bounds of the labelled sample: texts of each class, and bytes of the longest text in it.
 TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_BYTES = 600, 1800, 32_768
+#: Bytes of ordinary content in each pair of dictionaries.
+SIZES = (32_768, 4096)
 U = np.uint64
 
 
@@ -109,29 +114,31 @@ def _compressor(content: bytes):
 
 @dataclass
 class Dictionaries:
-    """Contents of the two dictionaries, without the ballast."""
+    """Contents of the pairs (ordinary, toxic), without the ballast."""
 
-    ordinary: bytes
-    toxic: bytes
+    pairs: list[tuple[bytes, bytes]]
 
     @staticmethod
-    def train(toxic: list[bytes], ordinary: list[bytes], size: int = 32_768) -> Dictionaries:
+    def train(toxic: list[bytes], ordinary: list[bytes], sizes: tuple[int, ...] = SIZES) -> Dictionaries:
         import zstandard as z
 
         flat = b"".join(ordinary)
         parts = [flat[i:i + 256] for i in range(0, len(flat), 256)]
-        try:
-            base = z.train_dictionary(size, parts, k=48, d=6, level=3).as_bytes()
-        except z.ZstdError:  # too little text to train on
-            base = flat[-size:]
         stems = b"".join(toxic_stems(toxic, ordinary)[::-1])
         filler = np.random.default_rng(0).integers(1, 8, len(stems)).astype(np.uint8).tobytes()
-        return Dictionaries(base + filler, base + stems)
-
-    def gains(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Bytes that the toxic dictionary saves, for each window of each text."""
-        if not hasattr(self, "_pair"):
-            self._pair = _compressor(self.ordinary + BALLAST), _compressor(self.toxic + BALLAST)
+        pairs = []
+        for size in sizes:
+            try:
+                base = z.train_dictionary(size, parts, k=48, d=6, level=3).as_bytes()
+            except z.ZstdError:  # too little text to train on
+                base = flat[-size:]
+            pairs.append((base + filler, base + stems))
+        return Dictionaries(pairs)
+
+    def gains(self, texts: list[bytes]) -> list[list[np.ndarray]]:
+        """Bytes that the toxic dictionary of each pair saves, for each window of each text."""
+        if not hasattr(self, "_made"):
+            self._made = [tuple(_compressor(x + BALLAST) for x in pair) for pair in self.pairs]
         windows, count = [], []
         for t in texts:
             own = [BALLAST + t[i:i + WINDOW + OVERLAP] for i in range(0, len(t), WINDOW)]
@@ -139,17 +146,25 @@ class Dictionaries:
             count.append(len(own))
         if not windows:
             return []
-        one, two = (np.fromiter((len(x) for x in c.multi_compress_to_buffer(windows, threads=1)), np.int64, len(windows)) for c in self._pair)
-        return np.split(one - two, np.cumsum(count)[:-1])
+        ends, out = np.cumsum(count)[:-1], []
+        for pair in self._made:
+            one, two = (np.fromiter((len(x) for x in c.multi_compress_to_buffer(windows, threads=1)), np.int64, len(windows)) for c in pair)
+            out.append(np.split(one - two, ends))
+        return [list(g) for g in zip(*out)]
 
     def __getstate__(self):
-        return {"ordinary": self.ordinary, "toxic": self.toxic}
+        return {"pairs": self.pairs}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
 
 
-def features(gain: np.ndarray) -> list[float]:
+def features(gains: list[np.ndarray]) -> list[float]:
+    """What the calibration sees of a text: its greatest gains and how many are great, for each pair."""
+    return [x for g in gains for x in _features(g)]
+
+
+def _features(gain: np.ndarray) -> list[float]:
     top = np.sort(gain)[::-1][:3]
     top = np.r_[top, np.zeros(3 - len(top))]
     n = max(1, len(gain))
@@ -196,7 +211,7 @@ def fit(texts: list[bytes], toxic: list[int]) -> Model:
     for c in (0, 1):
         own = np.flatnonzero(y == c)
         rank[own] = np.arange(len(own))
-    x = np.zeros((len(y), 9))
+    x = np.zeros((len(y), 9 * len(SIZES)))
     for part in (0, 1):
         learn = lambda i, p=part: rank[i] % 2 != p
         if not split(learn, 0) or not split(learn, 1):
