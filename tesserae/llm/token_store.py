@@ -54,14 +54,16 @@ class Encoder:
         self.memo: dict[str, bytes] = {}
         # the byte-level alphabet: printable bytes stand for themselves, the others for 256 and on
         shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        self.alphabet = np.arange(256, dtype="<u4")
         hidden = [b for b in range(256) if b not in shown]
-        self.alphabet = {b: 256 + i for i, b in enumerate(hidden) if b}
+        self.alphabet[hidden] = 256 + np.arange(len(hidden))
+        self.alphabet[0] = 0  # the separator
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
 
     def _fill(self, words: list[str]) -> dict[str, bytes]:
         """Encodings of pre-tokens (without NUL) by the library's model, from their bytes in its alphabet."""
-        spelt = "\0".join(words).encode().decode("latin-1").translate(self.alphabet).split("\0")
+        spelt = self.alphabet[np.frombuffer("\0".join(words).encode(), np.uint8)].tobytes().decode("utf-32-le").split("\0")
         tokenize = self.tok.model.tokenize
         got = [[t.id for t in tokenize(w)] for w in spelt]
         ends = np.cumsum([0, *map(len, got)]).tolist()
