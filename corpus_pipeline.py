@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from tesserae.llm import toxicity
 from tesserae.llm.decontaminate import decontaminate
+from tesserae.llm.near_copies import near_copies
 from tesserae.llm.sentencepiece_codec import encode_decode
-from tesserae.llm.simhash import near_duplicates
 from tesserae.llm.vocab import vocabulary
 
 ORACLE_SQL = None
@@ -38,7 +38,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that is linked by SimHash: that of the least doc_id.
+    """One document of each group that SimHash or a similarity of five-word shingles of at least 0.8 links: that of the least doc_id.
 
     Rows of one doc_id are one document (that of the least text stays). Rows without a doc_id are
     documents by their text, and come after all others when a group's document is chosen.
@@ -46,7 +46,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     df, doc_id, text, names = _numbered(docs)
     own = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(1 << 62) + F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1)))
     df = df.withColumn("k", own)
-    groups = near_duplicates(df, id_col="k", text_col=text)
+    groups = near_copies(df, id_col="k", text_col=text)
     first = groups.where("k = component_id").select("k").distinct()
     kept = df.join(first, "k", "left_semi").withColumn("r", F.row_number().over(W.partitionBy("k").orderBy(F.col(text).asc_nulls_first())))
     return _named(kept.where("r = 1"), names, docs)

@@ -202,6 +202,16 @@ def links(fps: DataFrame, bits: int = BITS, chunk: int = CHUNK) -> DataFrame:
     return found.where("kind = 0").select("u", "v").union(met.union(alone).mapInArrow(partial(_across, bits=bits), "u bigint, v bigint"))
 
 
+def groups(own: DataFrame, bits: int = BITS) -> DataFrame:
+    """(fp, component_id) of each distinct fingerprint of own (id, fp); own is read once."""
+    distinct = checkpoint(own.groupBy("fp").agg(F.min("id").alias("least")))
+    roots = components(links(distinct.select("fp"), bits))
+    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = checkpoint(named)
+    ids = named.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
+    return named.join(ids, named.root == ids.r).select("fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
     """(id, fingerprint, component_id): documents whose fingerprints are linked, directly or through others.
 
@@ -211,10 +221,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated rows. Other columns of docs are not read. An empty table gives an empty result.
     """
     own = checkpoint(fingerprints(docs, id_col, text_col))
-    distinct = checkpoint(own.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(links(distinct.select("fp"), bits))
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = checkpoint(named)
-    ids = named.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
-    by_fp = named.join(ids, named.root == ids.r).select("fp", "component_id")
-    return own.join(by_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return own.join(groups(own, bits), "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
