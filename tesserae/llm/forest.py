@@ -6,6 +6,11 @@ priority queue ordered by the least distance to a cut that was not followed, and
 they hold FRACTION of all distinct vectors, and LEAST of them or all; vectors of these leaves are ranked exactly, in double
 precision.
 
+The trees cut by distance, while the greatest inner product is asked for. Vectors are therefore placed
+with one coordinate more, the root of what their squared norm lacks to that of the longest; queries
+have zero there and the longest one's norm. Nearness then follows the inner product. The longest LONG of the vectors are one leaf more, which every
+query visits; there is none where norms are equal.
+
 Equal vectors are one entry with the least of their ids (as many as could be asked for), so that a
 vector that is very common costs no more than a rare one. Leaves are stored as packs of at most PACK
 vectors and visited by blocks of queries; each meeting of a pack and a block is one matrix product
@@ -24,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint, ship
 
 TREES, DEPTH, FRACTION, LEAST, SAMPLE, PACK = 16, 7, 0.55, 4000, 16_384, 1024
+LONG = 1 / 8
 
 
 @dataclass
@@ -92,6 +98,18 @@ def _matrix(col) -> np.ndarray:
     return flat.reshape(len(col), -1) if len(col) else flat.reshape(0, 1)
 
 
+def _placed(x: np.ndarray, longest: float) -> np.ndarray:
+    """Vectors, scaled by the longest norm, with the coordinate that makes all of length one."""
+    x = x / longest
+    return np.c_[x, np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(axis=1)))]
+
+
+def _asked(x: np.ndarray) -> np.ndarray:
+    """Queries of length one, with zero as the last coordinate."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return np.c_[x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros(len(x))]
+
+
 def _bytes(x: np.ndarray, kind: str) -> list[bytes]:
     """Rows as bytes; kind is that of the column, so single precision stays single, exactly."""
     return [r.tobytes() for r in np.ascontiguousarray(x.astype(kind))]
@@ -138,7 +156,12 @@ def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_co
     n = entries.count()
     enough = max(fraction, min(1.0, at_least / max(1, n)))
     picked = entries.orderBy(F.xxhash64("v"), "ids").limit(sample).select("v").collect()  # at most `sample` vectors
-    forest = Forest.fit(np.array([r.v for r in picked]), trees, depth)
+    peak = F.array_max(F.transform("v", F.abs))
+    norm = peak * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / peak) * (x / peak)))
+    longest = entries.agg(F.max(norm)).first()[0]
+    vectors = _placed(np.array([r.v for r in picked]), longest)
+    long = float(np.quantile(np.linalg.norm(vectors[:, :-1], axis=1), 1 - LONG)) * (1 + 1e-6)
+    forest = Forest.fit(vectors, trees, depth)
     sent = spark.sparkContext.broadcast(forest)  # trees * 2^depth * dims numbers
     leaves = 2**forest.depth
 
@@ -146,26 +169,29 @@ def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_co
         f = sent.value
         for b in batches:
             x = _matrix(b.column("v"))
-            at = f.leaves(x)
-            slots = (at + np.arange(at.shape[1]) * leaves).astype(np.int32)
-            ends = np.arange(0, slots.size + 1, slots.shape[1], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("ids"), pa.array(_bytes(x, kind), pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(slots.ravel()))], names=["ids", "v", "slots"])
+            at = f.leaves(_placed(x, longest))
+            slots = np.c_[at + np.arange(trees) * leaves, np.full(len(at), trees * leaves)].astype(np.int32)
+            taken = np.ones(slots.shape, bool)
+            taken[:, -1] = np.linalg.norm(x / longest, axis=1) > long
+            slots, ends = slots[taken], np.r_[0, np.cumsum(taken.sum(axis=1))].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("ids"), pa.array(_bytes(x, kind), pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(slots))], names=["ids", "v", "slots"])
 
     placed = checkpoint(entries.mapInArrow(place, "ids array<bigint>, v binary, slots array<int>"))
-    sizes = np.zeros(trees * leaves, np.int64)
+    sizes = np.zeros(trees * leaves + 1, np.int64)
     for r in placed.select(F.explode("slots").alias("s")).groupBy("s").count().collect():  # a row for each leaf
         sizes[r.s] = r["count"]
-    sizes = sizes.reshape(trees, leaves)
+    last = [trees * leaves] if sizes[-1] else []
     counts = F.array(*(F.lit(int(-(-c // pack)) or 1) for c in sizes.ravel())) if trees * leaves <= 4096 else None
     in_leaf = placed.select("ids", "v", F.explode("slots").alias("s"))
     packs_of = F.get(counts, F.col("s")) if counts is not None else F.lit(int(-(-sizes.max() // pack)) or 1)
+    sizes = sizes[:-1].reshape(trees, leaves)
     packs = in_leaf.groupBy("s", F.pmod(F.xxhash64("v"), packs_of).alias("p")).agg(F.collect_list(F.struct("ids", "v")).alias("rows"))
 
     def visit(batches):
         f = sent.value
         for b in batches:
             x = _matrix(b.column("v"))
-            slots = [[t * leaves + leaf for t, leaf in f.search(q, sizes, enough)] for q in x]
+            slots = [last + [t * leaves + leaf for t, leaf in f.search(q, sizes, enough)] for q in _asked(x)]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(_bytes(x, kind), pa.binary()), pa.array(slots, pa.list_(pa.int32()))], names=["id", "v", "slots"])
 
     queries = base.where(is_query).distinct()
