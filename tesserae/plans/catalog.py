@@ -241,6 +241,13 @@ def semantic_edges(spark, sf):
     return E.semantic(near, 0.4).select("source_id", "target_id", r6("weight").alias("weight")).distinct()
 
 
+@query()
+def semantic_edges_all(spark, sf):
+    """semantic_edges with every row as a query: pairs of all rows, hence no SQL form."""
+    near = retrieval.knn(V.vectors(spark, sf), V.vector_queries(spark, sf, 1), 5, exclude_self=True)
+    return E.semantic(near, 0.4).select("source_id", "target_id", r6("weight").alias("weight")).distinct()
+
+
 _PHRASES = ("idiot", "stupid", "eau", "tion")
 
 
@@ -294,9 +301,9 @@ j as (select query_id, id, new, old, len(list_intersect(nt, ot)) / len(list_dist
 s as (select query_id, id, sim, case when sim < 0.5 then 'ADD' when sim >= 0.7 and ({" or ".join(f"contains(lower(new), '{p.replace(chr(39), chr(39) * 2)}') or contains(lower(old), '{p.replace(chr(39), chr(39) * 2)}')" for p in diff.NEGATION_PHRASES)}) then 'CONFLICT' when sim > 0.9 and length(new) <= length(old) + length(old) // 4 then 'DUPLICATE' else 'UPDATE' end as suggestion from j)"""
 
 
-def _pairs(spark, sf):
+def _pairs(spark, sf, every=100):
     d = V.documents(spark, sf)
-    q = d.where("id % 100 = 0").select(F.col("id").alias("query_id"), "tokens", F.col("content").alias("new"))
+    q = d.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "tokens", F.col("content").alias("new"))
     hit = retrieval.keyword_scores(d, q).where("query_id <> id").join(d.select("id", "importance", "created_at"), "id")
     top = retrieval.ranked(hit, [F.desc("keyword"), F.desc("importance"), F.desc("created_at"), "id"], 5)
     both = top.join(q.select("query_id", "new", F.col("tokens").alias("new_tokens")), "query_id").join(d.select("id", F.col("content").alias("old"), F.col("tokens").alias("old_tokens")), "id")
@@ -313,6 +320,18 @@ def near_dups(spark, sf):
     return diff.overall(_pairs(spark, sf).withColumnsRenamed({"query_id": "new_id", "id": "old_id"}))
 
 
+@query()
+def jaccard_pairs_all(spark, sf):
+    """jaccard_pairs of every document."""
+    return _pairs(spark, sf, 1).select("query_id", "id", r6("similarity").alias("similarity"), "suggestion")
+
+
+@query()
+def near_dups_all(spark, sf):
+    """near_dups of every document."""
+    return diff.overall(_pairs(spark, sf, 1).withColumnsRenamed({"query_id": "new_id", "id": "old_id"}))
+
+
 # Graph
 
 def _walk_parts(intent: str, start: str) -> tuple[list[str], int]:
