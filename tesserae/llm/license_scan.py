@@ -125,7 +125,7 @@ def scan(df: DataFrame, path_col: str = "path", text_col: str = "text", keep: li
 
     def read(s):
         head, whole = (F.coalesce(s[c]["score"] >= threshold, F.lit(False)) for c in ("head", "whole"))
-        return F.struct(F.when(head, s["head"]).alias("own"), (whole | (head & named)).alias("file"))
+        return F.struct(F.when(head, s["head"]).when(whole, s["whole"]).alias("own"), (whole | (head & named)).alias("file"))
 
     # a lambda's argument is computed once, however often its body names it
     both = F.struct(F.array_max(F.transform(units, w.best)).alias("head"), w.best(text).alias("whole"))
