@@ -114,14 +114,16 @@ def anchors(insights: DataFrame, queries: DataFrame, k: int = ANCHORS, vectors:
 
     (query_id, id, score, via, signals): score is the sum of 1 / (60 + rank) over a query's lists,
     divided by its maximum; via is the one signal, or hybrid. A query with a `source` sees that
-    source's rows only.
+    source's rows only; a batch of more than MAX_QUERIES sources raises an error.
     """
     rows = insights
     lists = []
     has_source = "source" in queries.columns
     groups = [(None, queries)]
     if has_source:
-        named = sorted(r.source for r in queries.where("source is not null").select("source").distinct().limit(MAX_QUERIES).collect())
+        named = sorted(r.source for r in queries.where("source is not null").select("source").distinct().limit(MAX_QUERIES + 1).collect())
+        if len(named) > MAX_QUERIES:
+            raise ValueError(f"queries of more than {MAX_QUERIES} sources in one batch")
         groups = [(None, queries.where("source is null")), *((s, queries.where(F.col("source") == s)) for s in named)]
     for source, own in groups:
         part = rows if source is None else rows.where(F.col("source") == source)
