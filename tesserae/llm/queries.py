@@ -11,7 +11,7 @@ from .decontaminate import decontaminate
 from .forest import nearest
 from .sentencepiece_codec import encode_decode
 from .simhash import near_duplicates
-from .token_store import read_documents, write_store
+from .token_store import read_verified, write_store
 from .transducer import count_tokens
 from .vocab import vocabulary
 
@@ -50,7 +50,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "op8")
     write_store(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
-    return read_documents(spark, path)
+    return read_verified(spark, path)
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

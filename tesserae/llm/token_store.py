@@ -373,6 +373,13 @@ def crc_join(one: int, two: int, n_bytes: int) -> int:
     return (_times(_shift(n_bytes), one) if one else 0) ^ two
 
 
+def read_verified(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+    """read_documents of a store whose recipes agree with its manifest; an error if they do not."""
+    if not verify_store(spark, path):
+        raise ValueError(f"the recipes of {path} do not agree with its manifest")
+    return read_documents(spark, path, width)
+
+
 def read_documents(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the chunks that its recipe names.
 
