@@ -55,7 +55,7 @@ def test_one_of_each_group_stays(stages):
 
 
 def test_contaminated_documents_go(spark, stages):
-    from test_operators import brute_windows
+    from test_llm_operators import brute_windows
 
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     rows = [(r.doc_id, r.text) for r in stages[2].collect()]
