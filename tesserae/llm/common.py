@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -45,8 +46,6 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not base:
         checkpoint(spark.range(0))
         base = sc.getCheckpointDir()
-    import uuid
-
     return f"{base.rstrip('/')}/tesserae-{name}-{uuid.uuid4().hex}"
 
 
@@ -66,6 +65,17 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20):
         base, start = int(ends[stop - 1]), stop
 
 
+def kept_names(kept, own) -> list[str]:
+    """Names of kept columns beside a result's own: one that clashes gets underscores until it is free."""
+    taken, out = {c.lower() for c in own}, []
+    for c in kept:
+        while c.lower() in taken:
+            c += "_"
+        taken.add(c.lower())
+        out.append(c)
+    return out
+
+
 def lower_ascii(col):
     """A-Z only; other letters stay."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
