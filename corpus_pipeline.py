@@ -29,7 +29,10 @@ def _named(df: DataFrame, names: list[str], docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score under one half, by a model of the labelled ones; all, without labels of both kinds unless most are toxic."""
+    """Documents with a toxicity score under one half, by a model of the labelled ones; all, without labels of both kinds unless most are toxic.
+
+    A null or empty text is scored as a blank. Repeated rows share a fate; long texts are scored whole.
+    """
     df, doc_id, text, names = _numbered(docs)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias(doc_id), "toxic")
     model = toxicity.train(df, labels, id_col=doc_id, text_col=text)
@@ -40,20 +43,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that SimHash or a similarity of five-word shingles of at least 0.8 links: that of the least doc_id.
 
-    Rows of one doc_id are one document (that of the least text stays). Rows without a doc_id are
-    documents by their text, and come after all others when a group's document is chosen.
+    A document is a doc_id (of any type that can be ordered) with a text: of one doc_id with several
+    texts each text is decided by itself, and repeated rows are one document. Of a group's documents
+    with one doc_id that with the least hash of its text stays; those without a doc_id come after all
+    others. Null texts, empty ones and those without words are one group. Long texts are read whole.
     """
     df, doc_id, text, names = _numbered(docs)
-    own = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(1 << 62) + F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1)))
+    own = F.struct(F.col(doc_id).isNull().alias("bare"), F.col(doc_id).alias("i"), F.xxhash64(text).alias("h"))
     df = df.withColumn("k", own)
-    groups = near_copies(df, id_col="k", text_col=text)
-    first = groups.where("k = component_id").select("k").distinct()
+    first = near_copies(df, id_col="k", text_col=text).where("k = component_id").select("k").distinct()
     kept = df.join(first, "k", "left_semi").withColumn("r", F.row_number().over(W.partitionBy("k").orderBy(F.col(text).asc_nulls_first())))
     return _named(kept.where("r = 1"), names, docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a word inside a window of a benchmark item."""
+    """Documents without a word inside a window of a benchmark item.
+
+    Null and empty texts stay. Repeated rows share a fate; long texts are searched whole.
+    """
     df, doc_id, text, names = _numbered(docs)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.col("text").alias("item"))
     found = decontaminate(df, items, doc_id=doc_id, text=text, item_text="item", keep=names)
@@ -61,7 +68,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each document that is left, with digests of the ids and of the decoded text."""
+    """Piece ids of each document that is left, with digests of the ids and of the decoded text.
+
+    This last stage returns doc_id and what the encoding gives; other columns end here. Null and empty
+    texts have no ids. Repeated rows give repeated rows; long texts are encoded whole.
+    """
     return encode_decode(docs, vocabulary("piece_bpe_32k.model"), with_ids=True)
 
 

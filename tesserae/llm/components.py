@@ -14,7 +14,7 @@ def _digest(edges: DataFrame):
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Hang each neighbour (large: the greater ones; small: the lesser ones and the node) on the least."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))  # alone, so that a hub's edges can be split
     met = both.join(least, "u")
     if large:
         out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -26,8 +26,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the edges (u, v); root is the least node it can reach.
 
-    Each round is a fixed number of equality joins on minima, with partial aggregation; a hub is
-    never gathered in one place. The lineage is cut by a checkpoint every round. An empty table
+    Each round is a fixed number of equality joins on minima, which are found by partial aggregation
+    and written out first: the join then has nothing but exchanges below it, so that adaptive execution
+    splits a hub's edges. The lineage is cut by a checkpoint every round. An empty table
     gives an empty result; self links and repeated edges do not matter.
     """
     edges = checkpoint(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())

@@ -202,13 +202,18 @@ def links(fps: DataFrame, bits: int = BITS, chunk: int = CHUNK) -> DataFrame:
     return found.where("kind = 0").select("u", "v").union(met.union(alone).mapInArrow(partial(_across, bits=bits), "u bigint, v bigint"))
 
 
+def linked(distinct: DataFrame, bits: int = BITS) -> DataFrame:
+    """(fp, root) of each of the distinct fingerprints (column fp): root is the least one that it reaches."""
+    distinct = checkpoint(distinct.select("fp"))
+    roots = components(links(distinct, bits))
+    return checkpoint(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root")))
+
+
 def groups(own: DataFrame, bits: int = BITS) -> DataFrame:
-    """(fp, component_id) of each distinct fingerprint of own (id, fp); own is read once."""
-    distinct = checkpoint(own.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(links(distinct.select("fp"), bits))
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = checkpoint(named)
-    ids = named.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
+    """(fp, component_id) of each distinct fingerprint of own (id, fp)."""
+    least = checkpoint(own.groupBy("fp").agg(F.min("id").alias("least")))
+    named = checkpoint(least.join(linked(least, bits), "fp"))
+    ids = checkpoint(named.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id")))  # alone, so that a root of many prints can be split
     return named.join(ids, named.root == ids.r).select("fp", "component_id")
 
 
