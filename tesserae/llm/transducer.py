@@ -8,10 +8,12 @@ transition for a character moves to the next state and is annotated with the cha
 States and transitions are made as texts need them and kept in one table for a worker.
 
 A text is cut into segments (no piece crosses their bounds) and those into chunks of CHUNK
-characters. All chunks run in step through the table as lanes of numpy arrays. A chunk's map from
-the state at its start to the state and the count at its end is composed with its neighbours' in
-rounds: each chunk runs from the end state of the one before it as known so far, all at once, and
-again only if that state turns out another; counts are then summed by a prefix scan.
+characters. A chunk has a state map: for each entry state that can occur there the state at its end
+and the count of its tokens. All chunks run in step through the table as lanes of numpy arrays: first
+from the start state, then from each end state of the chunk before that its map lacks, until no map
+lacks one. States that different entries lead to are kept once, and as runs of the automaton soon
+meet, maps have one or two entries. The maps of a segment are then composed by a parallel prefix scan:
+in each round every map is composed with the one at twice the distance of the round before.
 """
 from __future__ import annotations
 
@@ -24,13 +26,54 @@ from .common import ship, slices
 from .sentencepiece_codec import INF, MARK, PieceModel
 
 CHUNK = 128
-#: Columns of the table: four for characters outside the vocabulary (by UTF-8 length), the others for characters in it.
+#: Columns of the dense table: four for characters outside the vocabulary (by UTF-8 length), the others for the
+#: characters of it that come first; transitions of the further ones are kept in a hash table of arrays.
 COLUMNS, FOREIGN = 224, 4
 #: States after which the table is emptied and compiled anew.
-STATES = 120_000
+STATES, SPARSE = 120_000, 2_000_000
 _BIAS, _STEP = 32, 64
 
 
+class Sparse:
+    """Whole numbers by whole-number key, in arrays with open addressing."""
+
+    def __init__(self, bits: int = 12):
+        self.bits, self.n = bits, 0
+        self.keys, self.vals = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, key: np.ndarray) -> np.ndarray:
+        """Values of the keys, -1 where there is none."""
+        out, at, slot = np.full(len(key), -1, np.int32), np.arange(len(key)), self._slot(key)
+        while len(at):
+            there = self.keys[slot]
+            hit = there == key
+            out[at[hit]] = self.vals[slot[hit]]
+            on = ~hit & (there != -1)
+            at, key, slot = at[on], key[on], (slot[on] + 1) & (len(self.keys) - 1)
+        return out
+
+    def put(self, key: np.ndarray, val: np.ndarray) -> None:
+        """New keys, each once."""
+        if 2 * (self.n + len(key)) > len(self.keys):
+            old = self.keys >= 0
+            big = Sparse(max(self.bits + 1, int(4 * (self.n + len(key))).bit_length()))
+            big.put(self.keys[old], self.vals[old])
+            self.__dict__.update(big.__dict__)
+        self.n += len(key)
+        slot = self._slot(key)
+        while len(key):
+            free = np.flatnonzero(self.keys[slot] == -1)
+            _, first = np.unique(slot[free], return_index=True)
+            won = free[first]
+            self.keys[slot[won]], self.vals[slot[won]] = key[won], val[won]
+            rest = np.ones(len(key), bool)
+            rest[won] = False
+            key, val, slot = key[rest], val[rest], (slot[rest] + 1) & (len(self.keys) - 1)
+
+
 class Transducer:
     def __init__(self, path: str):
         m = self.model = PieceModel(path)
@@ -64,7 +107,7 @@ class Transducer:
         self.names: dict[tuple, int] = {}
         self.states: list[tuple] = []
         self.table = np.full((1024, COLUMNS), -1, np.int32)
-        self.rare: dict[tuple[int, str], int] = {}
+        self.sparse = Sparse()
         self.start = self.state(((0, -1, 0),))
 
     def state(self, entries: tuple) -> int:
@@ -149,19 +192,25 @@ class Transducer:
             at = start[:n] + k
             c, s = col[at], state[:n]
             got = self.table[s, c]
-            odd = np.flatnonzero((got < 0) | (c < 0))
+            if c.min() < 0:
+                far = np.flatnonzero(c < 0)
+                got[far] = self.sparse.get(s[far] * np.int64(0x200000) + code[at[far]])
+            odd = np.flatnonzero(got < 0)
             if len(odd):
                 key = s[odd] * np.int64(0x200000) + code[at[odd]]
                 pairs, back = np.unique(key, return_inverse=True)
                 made = np.empty(len(pairs), np.int32)
+                far = np.zeros(len(pairs), bool)
                 for i, q in enumerate(pairs.tolist()):
-                    made[i] = self.transition(q >> 21, q & 0x1FFFFF)
+                    made[i], far[i] = self.transition(q >> 21, q & 0x1FFFFF)
+                self.sparse.put(pairs[far], made[far])
                 got[odd] = made[back]
             state[:n] = got >> 6
             count[:n] += (got & (_STEP - 1)) - _BIAS
         return state, count
 
-    def transition(self, s: int, code: int) -> int:
+    def transition(self, s: int, code: int) -> tuple[int, bool]:
+        """The transition, made if need be, and whether the character has no column."""
         ch = MARK if code == 0x20 else chr(code)
         col = int(self.column[code])
         if col < 0 and len(self.chars) < COLUMNS:  # the character gets a column
@@ -171,18 +220,51 @@ class Transducer:
             if ch == MARK:
                 self.column[0x20] = col
         if col < 0:
-            got = self.rare.get((s, ch))
-            if got is None:
-                got = self.rare[s, ch] = self.step(s, ch)
-            return got
+            got = self.sparse.get(np.array([s << 21 | code], np.int64))[0]
+            return (int(got), False) if got >= 0 else (self.step(s, ch), True)
         if self.table[s, col] < 0:
             got = self.step(s, ch)
             self.table[s, col] = got
-        return int(self.table[s, col])
+        return int(self.table[s, col]), False
+
+    def maps(self, code: np.ndarray, col: np.ndarray, start: np.ndarray, size: np.ndarray, nth: np.ndarray) -> tuple[np.ndarray, ...]:
+        """State maps of chunks as entries (chunk, entry state, end state, count), by chunk and entry state.
+
+        nth numbers the chunks of a segment from 0. The maps are closed: the end state of every
+        entry of a chunk is an entry of the next one of its segment.
+        """
+        n = len(start)
+        new = np.arange(n, dtype=np.int64) << 32 | self.start
+        keys, ends, counts = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        goes_on = np.r_[nth[1:] > 0, False]
+        while len(new):
+            chunk = new >> 32
+            by = np.argsort(-size[chunk], kind="stable")
+            end, count = np.empty(len(new), np.int64), np.empty(len(new), np.int64)
+            end[by], count[by] = self.run(code, col, start[chunk[by]], size[chunk[by]], (new & 0xFFFFFFFF)[by])
+            order = np.argsort(np.r_[keys, new], kind="stable")
+            keys, ends, counts = np.r_[keys, new][order], np.r_[ends, end][order], np.r_[counts, count][order]
+            on = goes_on[chunk]
+            new = np.unique((chunk[on] + 1) << 32 | end[on])
+            there = keys[np.minimum(np.searchsorted(keys, new), len(keys) - 1)] == new
+            new = new[~there]
+        return keys >> 32, keys & 0xFFFFFFFF, ends, counts
+
+    @staticmethod
+    def compose(chunk: np.ndarray, entry: np.ndarray, end: np.ndarray, count: np.ndarray, nth: np.ndarray) -> np.ndarray:
+        """For each entry the count from its chunk to the end of the segment, by doubling distances."""
+        keys = chunk << 32 | entry
+        goes_on = np.r_[nth[1:] > 0, False][chunk]
+        last = len(keys)  # one entry more, which leads to itself and counts nothing
+        to = np.where(goes_on, np.searchsorted(keys, (chunk + 1) << 32 | end), last)
+        to, total = np.r_[to, last], np.r_[count, 0]
+        while (to[:-1] != last).any():
+            total, to = total + total[to], to[to]
+        return total[:-1]
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""
-        if len(self.states) > STATES or len(self.rare) > 2_000_000:
+        if len(self.states) > STATES or self.sparse.n > SPARSE:
             self.reset()
         full = [t for t in texts if t]
         out = np.zeros(len(texts), np.int64)
@@ -201,22 +283,14 @@ class Transducer:
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
         start, size = seg[owner] + nth * CHUNK, np.minimum(length[owner] - nth * CHUNK, CHUNK)
         col = self.column[code]
-        order = np.argsort(-size, kind="stable")
-        state, count = np.empty(len(owner), np.int64), np.empty(len(owner), np.int64)
-        enter = np.full(len(owner), self.start, np.int64)
-        state[order], count[order] = self.run(code, col, start[order], size[order], enter[order])
-        inner = np.flatnonzero(nth > 0)
-        while len(inner):
-            inner = inner[enter[inner] != state[inner - 1]]
-            if not len(inner):
-                break
-            enter[inner] = state[inner - 1]
-            by = inner[np.argsort(-size[inner], kind="stable")]
-            state[by], count[by] = self.run(code, col, start[by], size[by], enter[by])
-            inner = np.flatnonzero(nth > 0)
-        total = np.r_[0, np.cumsum(count)]
-        bound = np.searchsorted(start, heads)
-        out[[i for i, t in enumerate(texts) if t]] = total[bound[1:]] - total[bound[:-1]]
+        chunk, entry, end, count = self.maps(code, col, start, size, nth)
+        total = self.compose(chunk, entry, end, count, nth)
+        head = np.flatnonzero(nth == 0)
+        whole = total[np.searchsorted(chunk << 32 | entry, head << 32 | self.start)]  # of each segment
+        sums = np.r_[0, np.cumsum(whole)]
+        bound = np.searchsorted(seg, heads)
+        total = sums[bound]
+        out[[i for i, t in enumerate(texts) if t]] = np.diff(total)
         return out
 
 

@@ -83,6 +83,28 @@ def test_counts_equal_the_library(library):
         M.STATES = old
 
 
+def test_composed_maps_equal_running(library):
+    """Chunks of few characters, composed, against the automaton run over each whole segment."""
+    from tesserae.llm import transducer as M
+
+    rng = random.Random(9)
+    han = "".join(chr(c) for c in range(0x4E00, 0x4E00 + 900))
+    texts = samples()[-700:] + ["".join(rng.choice(han) for _ in range(500)) for _ in range(20)] + ["aeiou" * 300, "ab" * 700, " " * 900, "=" * 1000]
+    want = [len(library.encode(t)) for t in texts]
+    old = M.CHUNK
+    try:
+        for size in (1, 3, 16, 10**6):
+            M.CHUNK = size
+            t = M.Transducer(PIECES)
+            assert t.counts(texts).tolist() == want, size
+    finally:
+        M.CHUNK = old
+    nth = np.array([0, 1, 2, 3, 0, 1])
+    chunk, entry = np.array([0, 1, 1, 2, 3, 4, 5]), np.array([0, 0, 5, 7, 0, 0, 9])
+    got = M.Transducer.compose(chunk, entry, np.array([5, 7, 7, 0, 1, 9, 3]), np.array([1, 2, 30, 4, 5, 6, 7]), nth)
+    assert got.tolist() == [40, 11, 39, 9, 5, 13, 7]
+
+
 def test_encode_rows(docs, library):
     got = rows(encode_decode(docs, PIECES), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
