@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tesserae.constants import INTENT_WEIGHTS, LAMBDA_EDGE, LAMBDA_VECTOR, MAX_CANDIDATES, TRAVERSAL
 from tesserae.functions.scoring import intent_weight
 from tesserae.functions.similarity import cosine
-from tesserae.plans.session import checkpoint
+from tesserae.plans.session import settle
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def walk(anchors: DataFrame, edges: DataFrame, queries: DataFrame, vectors: Data
     both = undirected(edges.select("source_id", "target_id", "edge_type", "weight"))
     limit = lambda i: F.coalesce(*[F.when(F.col("intent") == n, F.lit(t[i])) for n, t in TRAVERSAL.items()])
     q = queries.select("query_id", "intent", limit(0).alias("beam"), limit(1).alias("depth"), limit(2).alias("visited"), *(["vector"] if vectors is not None else []))
-    best = checkpoint(anchors.select("query_id", "id", "score", "via"))
+    best = settle(anchors.select("query_id", "id", "score", "via"))
     frontier = best.select("query_id", F.col("id").alias("anchor"), "id", "score").join(F.broadcast(q), "query_id")
     seen = frontier.select("query_id", "anchor", "id")
     for hop in range(max(t[1] for t in TRAVERSAL.values())):
@@ -43,20 +43,20 @@ def walk(anchors: DataFrame, edges: DataFrame, queries: DataFrame, vectors: Data
             rows = rows.join(vectors.select("id", "embedding"), "id", "left").join(F.broadcast(q.select("query_id", "vector")), "query_id")
             near = F.when(F.col("embedding").isNotNull() & F.col("vector").isNotNull(), F.greatest(F.lit(0.0), cosine(F.col("embedding"), F.col("vector")))).otherwise(0.0)
             rows = rows.withColumn("score", F.col("score") + LAMBDA_VECTOR * near).drop("embedding", "vector")
-        rows = checkpoint(rows)
+        rows = settle(rows)
         if rows.isEmpty():
             break
         top = rows.groupBy("query_id", "id").agg(F.min_by(F.struct("score", "edge_type"), F.struct(-F.col("score"), "anchor", "edge_type")).alias("t"))
         old = best.alias("old")
         joined = old.join(top.alias("new"), ["query_id", "id"], "full")
         better = F.col("t.score") > F.coalesce(F.col("old.score"), F.lit(float("-inf")))
-        best = checkpoint(joined.select("query_id", "id", F.when(better, F.col("t.score")).otherwise(F.col("old.score")).alias("score"), F.when(better, F.col("t.edge_type")).otherwise(F.col("old.via")).alias("via")))
+        best = settle(joined.select("query_id", "id", F.when(better, F.col("t.score")).otherwise(F.col("old.score")).alias("score"), F.when(better, F.col("t.edge_type")).otherwise(F.col("old.via")).alias("via")))
         fresh = rows.groupBy("query_id", "anchor", "id").agg(F.max("score").alias("score")).join(seen, ["query_id", "anchor", "id"], "left_anti")
         counted = seen.groupBy("query_id", "anchor").agg(F.count("*").alias("n"))
         order = W.partitionBy("query_id", "anchor").orderBy(F.desc("score"), "id")
         fresh = fresh.withColumn("r", F.row_number().over(order)).join(counted, ["query_id", "anchor"]).join(F.broadcast(q), "query_id")
-        fresh = checkpoint(fresh.where(F.col("r") <= F.col("visited") - F.col("n")))
-        seen = checkpoint(seen.union(fresh.select("query_id", "anchor", "id")))
+        fresh = settle(fresh.where(F.col("r") <= F.col("visited") - F.col("n")))
+        seen = settle(seen.union(fresh.select("query_id", "anchor", "id")))
         full = seen.groupBy("query_id", "anchor").agg(F.count("*").alias("m"))
         frontier = fresh.where(F.col("r") <= F.col("beam")).join(full, ["query_id", "anchor"]).where(F.col("m") < F.col("visited")).select("query_id", "anchor", "id", "score", *q.columns[1:])
     return best.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("r") <= max_candidates).drop("r")
@@ -70,17 +70,17 @@ def related(start: DataFrame, edges: DataFrame, depth: int, limit: int, edge_typ
     weight, created_at, edge_seq.
     """
     both = undirected(edges if edge_type is None else edges.where(F.col("edge_type") == edge_type))
-    front = checkpoint(start.select("query_id", "id"))
+    front = settle(start.select("query_id", "id"))
     seen, found = front, None
     for hop in range(1, depth + 1):
         met = front.join(both, front.id == both.a).select("query_id", F.col("b").alias("id"), "edge_type", "weight", "created_at", "edge_seq").join(seen, ["query_id", "id"], "left_anti")
         first = met.groupBy("query_id", "id").agg(F.min_by(F.struct("weight", "edge_type"), F.struct("created_at", "edge_seq")).alias("e")).select("query_id", "id", F.lit(hop).alias("depth"), "e.weight", "e.edge_type")
         used = (found.groupBy("query_id").agg(F.count("*").alias("used")) if found is not None else start.select("query_id", F.lit(0).cast("bigint").alias("used")).distinct())
         new = first.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("weight"), "id"))).join(used, "query_id", "left").where(F.col("r") <= limit - F.coalesce("used", F.lit(0))).drop("r", "used")
-        new = checkpoint(new)
+        new = settle(new)
         if new.isEmpty():
             break
-        found = new if found is None else checkpoint(found.union(new))
+        found = new if found is None else settle(found.union(new))
         front = new.select("query_id", "id")
         seen = seen.union(front)
     if found is None:

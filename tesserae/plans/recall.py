@@ -10,7 +10,7 @@ from tesserae.functions import scoring
 from tesserae.functions.similarity import cosine
 from tesserae.operators import graph, retrieval
 
-from .session import checkpoint
+from .session import settle
 
 
 def recall(insights: DataFrame, edges: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, limit: int = RECALL_LIMIT, max_candidates: int = MAX_CANDIDATES) -> DataFrame:
@@ -22,7 +22,7 @@ def recall(insights: DataFrame, edges: DataFrame, queries: DataFrame, vectors: D
     score is normalised). A WHY query's hits are put in causal order.
     """
     embedded = vectors is not None
-    a = checkpoint(retrieval.anchors(insights, queries, vectors=embedded) if not embedded else retrieval.anchors(insights.join(vectors, "id", "left"), queries, vectors=True))
+    a = settle(retrieval.anchors(insights, queries, vectors=embedded) if not embedded else retrieval.anchors(insights.join(vectors, "id", "left"), queries, vectors=True))
     walked = graph.walk(a.select("query_id", "id", "score", "via"), edges, queries, vectors, max_candidates).withColumnRenamed("score", "graph_raw")
     kw = retrieval.keyword_scores(insights.join(walked.select("id").distinct(), "id", "left_semi"), queries)
     rows = walked.join(kw, ["query_id", "id"], "left").na.fill(0.0, ["keyword"])
@@ -40,6 +40,6 @@ def recall(insights: DataFrame, edges: DataFrame, queries: DataFrame, vectors: D
         rows = rows.where(F.col("q_category").isNull() | (F.col("category") == F.col("q_category")))
     rows = rows.withColumn("score", scoring.final_score(F.col("keyword"), F.col("entity"), F.col("similarity"), F.col("graph"), embedded))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("importance"), F.desc("graph_raw"), "id")
-    hits = checkpoint(rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("query_id", "place", "id", "score", "via", "keyword", "entity", "similarity", "graph", "intent"))
+    hits = settle(rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("query_id", "place", "id", "score", "via", "keyword", "entity", "similarity", "graph", "intent"))
     causal = graph.topological(hits.where("intent = 'WHY'"), edges).withColumnRenamed("place", "p")
     return hits.join(causal, ["query_id", "id"], "left").withColumn("place", F.coalesce("p", "place")).drop("p", "intent")
