@@ -7,12 +7,18 @@ symbol array. Each round takes the smallest pair rank of every segment, merges t
 non-overlapping pairs of that rank at once, and compacts; segments without a pair leave.
 Where one of several equal merges would make a pair that ranks no later than itself, only the
 leftmost is merged in that round, so the order is always that of the one-at-a-time algorithm.
-Segments of over LONG symbols use a heap over the same ranks.
+
+Segments of LONG and more characters are first cut where two characters meet that stand side by side
+in no piece, as no merge crosses such a place. What still is LONG goes through the same rounds, but
+its pairs are kept by rank and its symbols as a linked list of arrays, so that a round touches the
+pairs it merges and their neighbours instead of the whole segment. Where equal merges keep waiting for
+one another (a run of thousands of spaces), the rest of the segment is merged one pair at a time.
 """
 from __future__ import annotations
 
 import hashlib
 import heapq
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +29,9 @@ from .common import ship, slices
 
 MARK = "▁"
 INF = np.int32(2**31 - 1)
-LONG = 4096
+LONG = 1024
+#: Rounds of a long segment in which equal merges wait for one another, before it goes on one pair at a time.
+WAITS = 64
 #: Entries of a worker's memo of segments, and the longest segment kept in it.
 MEMO, MEMO_CHARS = 300_000, 64
 
@@ -84,6 +92,8 @@ class PieceModel:
         self.char = np.arange(0x110000, dtype=np.int32) + self.free
         for c, s in chars.items():
             self.char[ord(c)] = s
+        beside = {(self.symbols[a], self.symbols[b]) for _, p, _ in normal for a, b in pairwise(p)}
+        self.beside = np.unique(np.array([a << 32 | b for a, b in beside], np.int64))
         self.piece_bytes = [b"" if p.type in (2, 3) else bytes([self.byte_of[i]]) if i in self.byte_of else p.piece.replace(MARK, " ").encode() for i, p in enumerate(proto.pieces)]
         self.names = np.array([str(i) for i in range(self.size)], dtype=object)
 
@@ -183,54 +193,128 @@ def merge_rounds(m: PieceModel, sym: np.ndarray, seg: np.ndarray, n: int) -> tup
     return sym[order], seg[order]
 
 
-def merge_heap(m: PieceModel, sym: list[int]) -> list[int]:
-    """The same merges for one long segment, one at a time."""
+def loose(m: PieceModel, sym: np.ndarray) -> np.ndarray:
+    """Where a segment of characters may be cut: places (from 1) between two that no piece has side by side."""
+    key = sym[:-1].astype(np.int64) << 32 | sym[1:]
+    at = np.minimum(np.searchsorted(m.beside, key), len(m.beside) - 1)
+    return np.flatnonzero(m.beside[at] != key) + 1
+
+
+def merge_ranked(m: PieceModel, sym: np.ndarray) -> np.ndarray:
+    """merge_rounds of one long segment, by rank."""
+    n = len(sym)
+    sym = np.r_[sym, np.int32(0)]  # the place after the end: no pair, and never alive
+    after, before = np.r_[np.arange(1, n + 1), n], np.r_[-1, np.arange(n)]
+    alive = np.r_[np.ones(n, bool), False]
+    makes = np.full(n + 1, -1, np.int32)
+    rank = np.full(n + 1, INF, np.int32)
+    buckets: dict[int, list[np.ndarray]] = {}
+    queue: list[int] = []
+
+    def offer(at: np.ndarray) -> None:
+        """The pairs that start at these places, anew."""
+        right = after[at]
+        made = np.where(right < n, m.merged(sym[at], sym[right]), -1).astype(np.int32)
+        makes[at], rank[at] = made, m.ranks(made)
+        at = at[made >= 0]
+        order = np.argsort(rank[at], kind="stable")
+        at = at[order]
+        heads = np.flatnonzero(np.r_[True, rank[at][1:] != rank[at][:-1]]) if len(at) else []
+        for part in np.split(at, heads[1:]) if len(at) else ():
+            put(int(rank[part[0]]), part)
+
+    def put(r: int, at: np.ndarray) -> None:
+        if r not in buckets:
+            buckets[r] = []
+            heapq.heappush(queue, r)
+        buckets[r].append(at)
+
+    offer(np.arange(n))
+    waits = 0
+    while queue:
+        if waits > WAITS:
+            return np.array(merge_one_by_one(m, sym[:n][alive[:n]].tolist()), np.int32)
+        r = heapq.heappop(queue)
+        at = np.unique(np.concatenate(buckets.pop(r)))
+        at = at[alive[at] & (rank[at] == r)]
+        if not len(at):
+            continue
+        run = np.flatnonzero(np.r_[True, after[at[:-1]] != at[1:]])  # neighbours overlap: every second one of a run goes
+        offset = np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))
+        pick = at[(offset & 1) == 0]
+        if len(pick) > 1:
+            new, right, left = makes[pick], after[after[pick]], before[pick]
+            chosen = np.full(n + 1, -1, np.int32)
+            chosen[pick] = new
+            bad = np.zeros(len(pick), bool)
+            for side in (sym[right], np.where(chosen[right] >= 0, chosen[right], sym[right])):
+                bad |= (right < n) & (m.ranks(m.merged(new, side)) <= r)
+            far = np.where(left > 0, before[left], 0)
+            joined = (left > 0) & (chosen[far] >= 0) & (after[far] == left)
+            for side in (sym[left], np.where(joined, chosen[far], sym[left])):
+                bad |= (left >= 0) & (m.ranks(m.merged(side, new)) <= r)
+            if bad.any():  # what follows the first of these waits for the pairs that it makes
+                stop = int(np.argmax(bad)) + 1
+                waits += 1
+                if stop < len(pick):
+                    put(r, at[at > pick[stop - 1]])
+                pick = pick[:stop]
+        gone = after[pick]
+        sym[pick], alive[gone] = makes[pick], False
+        right = after[gone]
+        after[pick] = right
+        before[right] = pick
+        left = before[pick]
+        offer(np.unique(np.r_[pick, left[left >= 0]]))
+    return sym[:n][alive[:n]]
+
+
+def merge_one_by_one(m: PieceModel, sym: list[int]) -> list[int]:
+    """What is left of a segment, one pair at a time."""
     n = len(sym)
-    nxt, prv, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-    heap: list = []
-
-    def offer(i: int, j: int) -> None:
-        got = m.pairs.get((sym[i] << 32) | sym[j])
-        if got is not None:
-            heap.append((int(m.rank_of[got]), i, j, sym[i], sym[j], got)) if not started else heapq.heappush(heap, (int(m.rank_of[got]), i, j, sym[i], sym[j], got))
-
-    started = False
-    for i in range(n - 1):
-        offer(i, i + 1)
-    heapq.heapify(heap)
-    started = True
-    while heap:
-        _, i, j, a, b, got = heapq.heappop(heap)
-        if not (alive[i] and alive[j]) or sym[i] != a or sym[j] != b or nxt[i] != j:
+    after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
+    rank_of = m.rank_of.tolist()
+    pair = lambda i, j: (rank_of[got], i, j, sym[i], sym[j], got) if (got := m.pairs.get(sym[i] << 32 | sym[j])) is not None else None
+    queue = [p for i in range(n - 1) if (p := pair(i, i + 1))]
+    heapq.heapify(queue)
+    while queue:
+        _, i, j, a, b, got = heapq.heappop(queue)
+        if not (alive[i] and alive[j]) or sym[i] != a or sym[j] != b or after[i] != j:
             continue
-        sym[i], alive[j], nxt[i] = got, False, nxt[j]
-        if nxt[j] < n:
-            prv[nxt[j]] = i
-            offer(i, nxt[i])
-        if prv[i] >= 0:
-            offer(prv[i], i)
-    return [s for s, x in zip(sym, alive) if x]
+        sym[i], alive[j], after[i] = got, False, after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        for x, y in ((before[i], i), (i, after[i])):
+            if x >= 0 and y < n and (p := pair(x, y)):
+                heapq.heappush(queue, p)
+    return [s for s, on in zip(sym, alive) if on]
 
 
 def encode_segments(m: PieceModel, segments: list[str]) -> list[list[int]]:
     """Piece ids of each segment (a mark, then its key with spaces as marks)."""
-    out: list = [None] * len(segments)
-    short = [i for i, s in enumerate(segments) if len(s) < LONG]
-    for i, s in enumerate(segments):
-        if len(s) >= LONG:
-            codes = np.frombuffer((MARK + s.replace(" ", MARK)).encode("utf-32-le"), np.uint32)
-            out[i] = _ids(m, merge_heap(m, m.char[codes].tolist()))
-    if short:
-        words = [MARK + segments[i].replace(" ", MARK) for i in short]
-        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        seg = np.repeat(np.arange(len(words), dtype=np.int32), np.fromiter(map(len, words), np.int64, len(words)))
-        sym, seg = merge_rounds(m, m.char[codes], seg, len(words))
-        bounds = np.searchsorted(seg, np.arange(len(words) + 1)).tolist()
-        odd = set(seg[sym >= m.size].tolist())
-        flat = sym.tolist()
-        for k, i in enumerate(short):
-            ids = flat[bounds[k]:bounds[k + 1]]
-            out[i] = _ids(m, ids) if k in odd else ids
+    out: list = [[] for _ in segments]
+    words = [MARK + s.replace(" ", MARK) for s in segments]
+    codes = m.char[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes)
+    cut = [np.zeros(0, np.int64)]
+    for i in np.flatnonzero(sizes >= LONG).tolist():
+        cut.append(loose(m, codes[ends[i] - sizes[i]:ends[i]]) + ends[i] - sizes[i])
+    starts = np.union1d(np.concatenate(cut), ends - sizes)
+    size = np.diff(np.r_[starts, len(codes)])
+    part = np.repeat(np.arange(len(starts), dtype=np.int32), size)
+    short = np.repeat(size < LONG, size)
+    sym, seg = merge_rounds(m, codes[short], part[short], len(starts))
+    for k in np.flatnonzero(size >= LONG).tolist():
+        got = merge_ranked(m, codes[starts[k]:starts[k] + size[k]])
+        at = np.searchsorted(seg, k)
+        sym, seg = np.concatenate([sym[:at], got, sym[at:]]), np.concatenate([seg[:at], np.full(len(got), k, np.int32), seg[at:]])
+    bounds = np.searchsorted(seg, np.searchsorted(starts, np.r_[ends - sizes, len(codes)])).tolist()
+    odd = set(np.searchsorted(ends, starts[seg[sym >= m.size]], side="right").tolist())
+    flat = sym.tolist()
+    for i in range(len(segments)):
+        ids = flat[bounds[i]:bounds[i + 1]]
+        out[i] = _ids(m, ids) if i in odd else ids
     return out
 
 
@@ -361,8 +445,9 @@ def encode_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_c
     """Encode every whole text and decode the ids again.
 
     Returns id_col, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids. A null or empty
-    text has no ids. Repeated rows give repeated rows; null ids stay null; other columns of df,
-    whatever their names, are not read. An empty table gives an empty result.
+    text has no ids. Very long texts are encoded whole, one at a time; so are long segments without a
+    space. Repeated rows give repeated rows; null ids stay null; other columns of df, whatever their
+    names, are not read. An empty table gives an empty result.
     """
     ship(df.sparkSession)
     base = df.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"))

@@ -62,6 +62,20 @@ def test_pieces_equal_the_library(library):
         assert raw.decode() == library.decode(want)
 
 
+def test_long_segments_equal_the_library(library, monkeypatch):
+    """Segments without a space of all lengths around the bound, and all samples with the bound at 2."""
+    from tesserae.llm import sentencepiece_codec as M
+
+    rng = random.Random(8)
+    long = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ab", "acgt", "abcdefghijklmnopqrstuvwxyz", "aB3+/", "x", "=-", "日本語のé", "▁", "thein") for n in (1022, 1023, 1024, 1025, 6000)]
+    for bound in (M.LONG, 2):
+        monkeypatch.setattr(M, "LONG", bound)
+        texts = long + samples() if bound > 2 else samples()
+        for text, (ids, raw) in zip(texts, M.Codec(PIECES).batch(texts)):
+            assert ids == ",".join(map(str, library.encode(text))), (bound, text[:60])
+            assert raw.decode() == library.decode(library.encode(text))
+
+
 def test_decoding_of_any_ids(library):
     rng, m = random.Random(2), codec(PIECES).model
     for _ in range(200):
