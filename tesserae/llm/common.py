@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.plans.session import checkpoint, settle, shared_folder  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,22 +33,9 @@ def ship(spark: SparkSession) -> None:
     sc._tesserae_shipped = True
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that the session names; a folder is set only where there is none."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tesserae-ckpt-"))
-    return df.checkpoint(eager=True)
-
-
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the one that the session names for checkpoints, for written tables."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        checkpoint(spark.range(0))
-        base = sc.getCheckpointDir()
-    return f"{base.rstrip('/')}/tesserae-{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/tesserae-{name}-{uuid.uuid4().hex}"
 
 
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20):

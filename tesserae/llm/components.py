@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import settle
 
 
 def _digest(edges: DataFrame):
@@ -14,7 +14,7 @@ def _digest(edges: DataFrame):
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Hang each neighbour (large: the greater ones; small: the lesser ones and the node) on the least."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))  # alone, so that a hub's edges can be split
+    least = settle(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))  # alone, so that a hub's edges can be split
     met = both.join(least, "u")
     if large:
         out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -31,12 +31,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     splits a hub's edges. The lineage is cut by a checkpoint every round. An empty table
     gives an empty result; self links and repeated edges do not matter.
     """
-    edges = checkpoint(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    edges = settle(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     was = _digest(edges)
     for _ in range(rounds):
         if not was[0]:
             break
-        edges = checkpoint(_star(_star(edges, True), False))
+        edges = settle(_star(_star(edges, True), False))
         now = _digest(edges)
         if now == was:
             break

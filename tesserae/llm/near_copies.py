@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import checkpoint, ship, slices
+from .common import settle, ship, slices
 from .components import components
 
 SEED, SHINGLE = 42, 5
@@ -30,9 +30,9 @@ BANDS, ROWS = 24, 4
 LEAST = (4, 5)
 #: Least number of equal bytes in two sketches of BANDS * ROWS bytes: 4.4 standard deviations under the mean at 0.8.
 AGREE = 60
-STARS, CHUNK, SALTS = 2, 256, 8
+STARS, CHUNK, SALTS = 1, 256, 8
 #: Rows, and bytes, of what is broadcast.
-SMALL, SMALL_BYTES = 500_000, 64 << 20
+SMALL, SMALL_BYTES = 200_000, 16 << 20
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -123,9 +123,9 @@ def _alike(pairs: DataFrame) -> DataFrame:
 def _similar(pairs: DataFrame, base: DataFrame) -> DataFrame:
     """Of the distinct pairs (a, b, u, v) the (u, v) whose texts a and b are similar enough. The sets of
     the b, which are few where they lead, are broadcast if their counted bytes are bounded."""
-    sets = checkpoint(_sets(base, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
+    sets = settle(_sets(base, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
     one, two = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    two = checkpoint(two.join(pairs.select("b").distinct(), "b", "left_semi"))
+    two = settle(two.join(pairs.select("b").distinct(), "b", "left_semi"))
     size = two.agg(F.sum(8 * F.size("y") + 64)).first()[0] or 0
     both = F.size(F.array_intersect("x", "y"))
     least, of = LEAST
@@ -134,23 +134,25 @@ def _similar(pairs: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def _salted(rows: DataFrame, small: DataFrame, on: str, by: str = "node") -> DataFrame:
-    """rows joined with one row a key of small, whose common keys are dealt to SALTS tasks."""
+    """rows joined with one row a key of small, a checkpoint: broadcast if it is counted to be small, else with keys dealt to SALTS tasks."""
+    if small.count() <= SMALL // 4:
+        return rows.join(F.broadcast(small), on)
     small = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(small, [on, "salt"]).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(small.hint("merge"), [on, "salt"]).drop("salt")
 
 
 def _apart(members: DataFrame) -> DataFrame:
     """Of members (key, node, root, sketch) those whose key holds more than one root, with the key's size n."""
     stats = members.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key", "n")
-    return _salted(members, checkpoint(stats), "key")
+    return _salted(members, settle(stats), "key")
 
 
 def _led(members: DataFrame) -> DataFrame:
     """Pairs (a, b, u, v, x, y): each member with the leader of its keys."""
     weight = members.groupBy("node").agg(F.sum("n").alias("c"))
-    ranked = _salted(members.select("key", "node", "root", "sketch"), checkpoint(weight), "node", "key")
+    ranked = _salted(members.select("key", "node", "root", "sketch"), settle(weight), "node", "key")
     lead = ranked.groupBy("key").agg(F.max_by(F.struct("node", "root", "sketch"), F.struct("c", "node")).alias("m"))
-    met = _salted(members.select("key", "node", "root", "sketch"), checkpoint(lead), "key").where("root <> m.root")
+    met = _salted(members.select("key", "node", "root", "sketch"), settle(lead), "key").where("root <> m.root")
     return met.select(F.col("node").alias("a"), F.col("m.node").alias("b"), F.col("root").alias("u"), F.col("m.root").alias("v"), F.col("sketch").alias("x"), F.col("m.sketch").alias("y"))
 
 
@@ -181,7 +183,7 @@ def _met(batches):
 def _rest(members: DataFrame) -> DataFrame:
     """Distinct pairs (a, b, u, v) of a key's members that are still apart and whose sketches agree."""
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CHUNK)).alias("c")
-    chunks = checkpoint(members.groupBy("key", part).agg(F.collect_list(F.struct("node", "root", "sketch")).alias("rows")))
+    chunks = settle(members.groupBy("key", part).agg(F.collect_list(F.struct("node", "root", "sketch")).alias("rows")))
     two = chunks.alias("x").join(chunks.alias("y"), F.expr("x.key = y.key and x.c < y.c")).select(F.col("x.rows").alias("one"), F.col("y.rows").alias("two"))
     alone = chunks.select(F.col("rows").alias("one"), F.lit(None).cast(chunks.schema["rows"].dataType).alias("two"))
     return two.union(alone).mapInArrow(_met, _PAIRS).distinct()
@@ -197,19 +199,19 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     ship(docs.sparkSession)
     base = _base(docs, id_col, text_col)
-    read = checkpoint(_read(base))
+    read = settle(_read(base))
     fps = simhash.linked(read.select("fp").distinct(), bits)  # (fp, root)
-    rows = checkpoint(read.select("id", "node", "fp").join(fps, "fp").select("id", "node", "root"))
+    rows = settle(read.select("id", "node", "fp").join(fps, "fp").select("id", "node", "root"))
     texts = read.where("keys is not null").dropDuplicates(["node"]).join(fps, "fp").select("node", "root", "sketch", F.explode("keys").alias("key"))
-    members = checkpoint(_apart(texts))
+    members = settle(_apart(texts))
     for star in range(STARS + 1):
         if members.isEmpty():
             break
-        pairs = checkpoint(_alike(_led(members).distinct()) if star < STARS else _rest(members))
-        roots = checkpoint(components(_similar(pairs, base)))
+        pairs = settle(_alike(_led(members).distinct()) if star < STARS else _rest(members))
+        roots = settle(components(_similar(pairs, base)))
         new = members.drop("n").join(roots, members.root == roots.node, "left").select("key", members.node, F.coalesce(roots.root, members.root).alias("root"), "sketch")
         if star < STARS:
-            members = checkpoint(_apart(new))
-        rows = checkpoint(rows.join(roots.select(F.col("node").alias("was"), F.col("root").alias("least")), F.col("root") == F.col("was"), "left").select("id", "node", F.coalesce("least", "root").alias("root")))
-    ids = checkpoint(rows.groupBy(F.col("root").alias("r")).agg(F.min("id").alias("component_id")))
+            members = settle(_apart(new))
+        rows = settle(rows.join(roots.select(F.col("node").alias("was"), F.col("root").alias("least")), F.col("root") == F.col("was"), "left").select("id", "node", F.coalesce("least", "root").alias("root")))
+    ids = settle(rows.groupBy(F.col("root").alias("r")).agg(F.min("id").alias("component_id")))
     return rows.join(ids, rows.root == ids.r).select(F.col("id").alias(id_col), "component_id")

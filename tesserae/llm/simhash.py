@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, ship, slices
+from .common import settle, ship, slices
 from .components import components
 
 SEED, SHINGLE, BITS = 42, 4, 4
@@ -195,7 +195,7 @@ def links(fps: DataFrame, bits: int = BITS, chunk: int = CHUNK) -> DataFrame:
             keys.append(F.lit((at + i) << 22).bitwiseOR(part.bitwiseAND(F.lit(((1 << size) - 1) & ~(1 << i)))))
     variants = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
     dealt = variants.repartitionByRange("key", "fp").sortWithinPartitions("key", "fp")
-    found = checkpoint(dealt.mapInArrow(partial(_runs, bits=bits, chunk=chunk), _OUT))
+    found = settle(dealt.mapInArrow(partial(_runs, bits=bits, chunk=chunk), _OUT))
     chunks = found.where("kind = 1").select("key", "fps", F.xxhash64("fps").alias("c"))
     met = chunks.alias("x").join(chunks.alias("y"), F.expr("x.key = y.key and x.c < y.c")).select("x.key", F.col("x.fps").alias("one"), F.col("y.fps").alias("two"))
     alone = chunks.where(F.size("fps") > 1).select("key", F.col("fps").alias("one"), F.lit(None).cast("array<bigint>").alias("two"))
@@ -204,16 +204,16 @@ def links(fps: DataFrame, bits: int = BITS, chunk: int = CHUNK) -> DataFrame:
 
 def linked(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     """(fp, root) of each of the distinct fingerprints (column fp): root is the least one that it reaches."""
-    distinct = checkpoint(distinct.select("fp"))
+    distinct = settle(distinct.select("fp"))
     roots = components(links(distinct, bits))
-    return checkpoint(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root")))
+    return settle(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root")))
 
 
 def groups(own: DataFrame, bits: int = BITS) -> DataFrame:
     """(fp, component_id) of each distinct fingerprint of own (id, fp)."""
-    least = checkpoint(own.groupBy("fp").agg(F.min("id").alias("least")))
-    named = checkpoint(least.join(linked(least, bits), "fp"))
-    ids = checkpoint(named.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id")))  # alone, so that a root of many prints can be split
+    least = settle(own.groupBy("fp").agg(F.min("id").alias("least")))
+    named = settle(least.join(linked(least, bits), "fp"))
+    ids = settle(named.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id")))  # alone, so that a root of many prints can be split
     return named.join(ids, named.root == ids.r).select("fp", "component_id")
 
 
@@ -225,5 +225,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked like any other. Copies share a fingerprint, which is compared once; repeated rows give
     repeated rows. Other columns of docs are not read. An empty table gives an empty result.
     """
-    own = checkpoint(fingerprints(docs, id_col, text_col))
+    own = settle(fingerprints(docs, id_col, text_col))
     return own.join(groups(own, bits), "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -56,7 +56,7 @@ def compressor(content: bytes):
     import zstandard as z
 
     p = z.ZstdCompressionParameters(format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False,
-                                    window_log=21, hash_log=19, chain_log=21, search_log=6, min_match=5, strategy=z.STRATEGY_BTLAZY2)
+                                    window_log=18, hash_log=17, chain_log=19, search_log=6, min_match=5, strategy=z.STRATEGY_BTLAZY2)
     d = z.ZstdCompressionDict(content + BALLAST, dict_type=z.DICT_TYPE_RAWCONTENT)
     d.precompute_compress(compression_params=p)
     return z.ZstdCompressor(dict_data=d, compression_params=p)
