@@ -338,13 +338,30 @@ def test_neighbours_recall(spark):
     x[:2000] = x[0]  # a very common vector
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
     got: dict = {}
-    for r in forest.nearest(df, "id % 400 = 0", at_least=0).collect():
+    for r in forest.nearest(df, "id % 400 = 0").collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     hit = [len(got[q] & set(exact(x, range(6000), (q, x[q]), 20))) for q in got]
     assert len(got) == 15 and sum(hit) / len(hit) / 20 >= 0.9
     assert got[0] == set(range(1, 21))
 
 
+def test_neighbours_of_vectors_with_structure(spark):
+    """Clusters need a small share of the leaves; great norms have ties within their rounding."""
+    rng = np.random.default_rng(1)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x, plain = unit(np.repeat(rng.standard_normal((40, 32)), 100, axis=0) + 0.1 * rng.standard_normal((4000, 32))), unit(rng.standard_normal((4000, 32)))
+    few, many = (forest.Forest.fit(forest._placed(v, 1.0), depth=7).share(forest._placed(v, 1.0), np.zeros(4000, bool), 20) for v in (x, plain))
+    assert few < 0.15 < many
+    big = x * 1e12
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(big)] + [(4000, big[7].tolist())], "vec_id bigint, embedding array<double>")
+    got: dict = {}
+    for r in forest.nearest(df, "id % 100 = 0").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    v = np.r_[big, big[7:8]]
+    hit = [len(got[q] & set(exact(v, range(4001), (q, v[q]), 20))) for q in got]
+    assert len(got) == 41 and sum(hit) / len(hit) / 20 >= 0.9
+
+
 # 1: urls
 
 URLS = ["http://A.example.org/es/x?y", "https://example.org/en/12", "https://example.org/en/2", "http://org/", "http://x.com/fr/", "http://x.com/de/1#a/b", "http://www.spam-farm.example.com/x", "casino-win.example.net", "ftp://casino-win.example.net", None, "", "://", "http://notexample.org/es/", "http://a://b/c", "http://h?x/y", "HTTP://ÀB.com/FR/", "http://spam-farm.example.com.evil.net/"]
