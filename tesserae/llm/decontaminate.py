@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, ship, slices
+from .common import checkpoint, kept_names, ship, slices
 
 U = np.uint64
 TOP = U(2**64 - 1)
@@ -175,7 +175,7 @@ def find(words: Words, index: ItemIndex) -> tuple[np.ndarray, np.ndarray]:
 
 def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int):
     """The distinct items in blocks of about block_bytes; each block alone comes to the driver."""
-    items = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null").distinct()
+    items = checkpoint(items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null").distinct())
     total = items.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
     n = -(-total // block_bytes)
     for b in range(n):
@@ -183,21 +183,26 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int):
         yield [(r.i, r.t) for r in part.toLocalIterator()]
 
 
+OWN = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids")
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
     """Words of each document inside a window of 10 words of an item (of all its words, if fewer).
 
     Returns doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and item_ids (the items,
     sorted as strings); with keep, the named columns of docs are carried along and lead the result.
-    A null or empty text has no words and is clean. Items with a null id or text take no part;
-    repeated items count once, repeated documents give repeated rows. Either table may be empty.
-    A kept column whose name clashes with one of the result's must be renamed by the caller.
+    A null or empty text has no words and is clean; a long one is searched whole. Items with a null id
+    or text take no part; repeated items count once, repeated documents give repeated rows. Either
+    table may be empty. A kept column called as one of the result's gets an underscore at its end.
     """
     ship(docs.sparkSession)
-    name = text if keep and text in keep and docs.schema[text].dataType.simpleString() == "string" else "__t"
-    lead = [F.col(doc_id).alias("__id"), *([] if name != "__t" else [F.col(text).cast("string").alias("__t")]), F.lit(None).cast("binary").alias("__hit"), F.lit(None).cast("array<string>").alias("__items")]
-    state = docs.select(*lead, *(F.col(c) for c in keep or []))
-    shown = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep or [])
-    tail = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, item_ids array<string>"
+    lead = list(keep or [doc_id])
+    inner = [f"c{i}" for i in range(len(lead))]
+    state = docs.select(*(F.col(c).alias(n) for c, n in zip(lead, inner)), F.lit(None).cast("binary").alias("hit"), F.lit(None).cast("array<string>").alias("items"), *([] if text in lead else [F.col(text).cast("string").alias("t")]))
+    name = inner[lead.index(text)] if text in lead else "t"
+    if state.schema[name].dataType.simpleString() != "string":
+        state, name = state.withColumn("t", F.col(name).cast("string")), "t"
+    shown = ", ".join(f"{n} {state.schema[n].dataType.simpleString()}" for n in inner)
     blocks, first = _blocks(items, item_id, item_text, block_bytes), True
     block = next(blocks, None)
     while True:
@@ -206,14 +211,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
         sent = docs.sparkSession.sparkContext.broadcast(ItemIndex(block or []))
         if not first:
             state = checkpoint(state)
-        schema = ((shown if keep else f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}") + ", " + tail) if last else state.schema
-        state = state.mapInArrow(_scanner(sent, doc_id, name, list(keep or []), last), schema)
+        schema = f"{shown}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, item_ids array<string>" if last else state.schema
+        state = state.mapInArrow(_scanner(sent, name, inner, last), schema)
         first, block = False, after
         if last:
-            return state
+            return state.toDF(*kept_names(lead, OWN), *OWN)
 
 
-def _scanner(sent, doc_id: str, name: str, keep: list[str], last: bool):
+def _scanner(sent, name: str, keep: list[str], last: bool):
     def run(batches):
         index = sent.value
         for whole in batches:
@@ -221,8 +226,8 @@ def _scanner(sent, doc_id: str, name: str, keep: list[str], last: bool):
                 words = Words(b.column(name))
                 hit, pairs = find(words, index)
                 ends = np.r_[0, np.cumsum(words.counts)]
-                before = b.column("__hit").to_pylist()
-                met = b.column("__items").to_pylist()
+                before = b.column("hit").to_pylist()
+                met = b.column("items").to_pylist()
                 for i, old in enumerate(before):
                     if old is not None and words.counts[i]:
                         hit[ends[i]:ends[i + 1]] |= np.unpackbits(np.frombuffer(old, np.uint8), count=int(words.counts[i])).astype(bool)
@@ -231,15 +236,15 @@ def _scanner(sent, doc_id: str, name: str, keep: list[str], last: bool):
                     found.setdefault(d, set()).add(index.names[i])
                 if not last:
                     bits = [np.packbits(hit[ends[i]:ends[i + 1]]).tobytes() if i in found else None for i in range(b.num_rows)]
-                    cols = [pa.array(bits, pa.binary()) if n == "__hit" else pa.array([sorted(found[i]) if i in found else None for i in range(b.num_rows)], pa.list_(pa.string())) if n == "__items" else b.column(n) for n in b.schema.names]
+                    cols = [pa.array(bits, pa.binary()) if n == "hit" else pa.array([sorted(found[i]) if i in found else None for i in range(b.num_rows)], pa.list_(pa.string())) if n == "items" else b.column(n) for n in b.schema.names]
                     yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
                     continue
                 n_hit = np.bincount(words.text[hit], minlength=b.num_rows)
                 names = [sorted(found.get(i, ())) for i in range(b.num_rows)]
-                cols = [b.column(c) for c in keep] or [b.column("__id")]
+                cols = [b.column(c) for c in keep]
                 cols += [pa.array(words.counts.astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array([len(x) for x in names], pa.int64()),
                          pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()), pa.array(n_hit > 0), pa.array(names, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(cols, names=[*(keep or [doc_id]), "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids"])
+                yield pa.RecordBatch.from_arrays(cols, names=[*keep, *OWN])
 
     return run
 

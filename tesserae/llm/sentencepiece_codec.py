@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ LONG = 1024
 #: Rounds of a long segment in which equal merges wait for one another, before it goes on one pair at a time.
 WAITS = 64
 #: Entries of a worker's memo of segments, and the longest segment kept in it.
-MEMO, MEMO_CHARS = 300_000, 64
+MEMO, MEMO_CHARS = 150_000, 64
 
 
 class PieceModel:
@@ -92,8 +91,9 @@ class PieceModel:
         self.char = np.arange(0x110000, dtype=np.int32) + self.free
         for c, s in chars.items():
             self.char[ord(c)] = s
-        beside = {(self.symbols[a], self.symbols[b]) for _, p, _ in normal for a, b in pairwise(p)}
-        self.beside = np.unique(np.array([a << 32 | b for a, b in beside], np.int64))
+        codes = np.frombuffer("\n".join(p for _, p, _ in normal).encode("utf-32-le"), np.uint32)
+        inside = (codes[:-1] != 10) & (codes[1:] != 10) if "\n" not in self.symbols else np.ones(len(codes) - 1, bool)
+        self.beside = np.unique((self.char[codes[:-1]].astype(np.int64) << 32 | self.char[codes[1:]])[inside])
         self.piece_bytes = [b"" if p.type in (2, 3) else bytes([self.byte_of[i]]) if i in self.byte_of else p.piece.replace(MARK, " ").encode() for i, p in enumerate(proto.pieces)]
         self.names = np.array([str(i) for i in range(self.size)], dtype=object)
 
@@ -457,7 +457,7 @@ def encode_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_c
     def run(batches):
         c = codec(model_path)
         for whole in batches:
-            for b in slices(whole, "t", 4 << 20):
+            for b in slices(whole, "t", 2 << 20):
                 got = c.batch(b.column("t").to_pylist())
                 cols = [
                     b.column("k"),

@@ -13,6 +13,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import kept_names
+
 #: A prime that is over a hundred times the usual number of shards.
 SLOTS = 65_537
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
@@ -60,13 +62,16 @@ def table_of(spark: SparkSession, shards=SHARDS, slots: int = SLOTS) -> DataFram
 def assign(df: DataFrame, key_cols: list[str], shards=SHARDS, slots: int = SLOTS, keep: list[str] | None = None) -> DataFrame:
     """The kept columns of df (all, if None) with slot and shard.
 
-    Equal keys go to one shard, wherever they are; so use a key that is unique, or nearly, if
-    shards are to be of equal size. Nulls in a key are values of their own. No shuffle: each row
-    asks the broadcast table. Kept columns called slot or shard must be renamed by the caller.
+    Equal keys go to one shard, wherever they are, so repeated rows do; use a key that is unique, or
+    nearly, if shards are to be of equal size. Nulls in a key are values of their own; texts in a key
+    count whole, however long. No shuffle: each row asks the broadcast table. A kept column called
+    slot or shard gets an underscore at its end. An empty table gives an empty result.
     """
-    kept = [F.col(c) for c in (df.columns if keep is None else keep)]
-    rows = df.select(*kept, slot_of(*map(F.col, key_cols), slots=slots).cast("int").alias("slot"))
-    return rows.join(F.broadcast(table_of(df.sparkSession, shards, slots)), "slot").select(*(keep if keep is not None else df.columns), "slot", "shard")
+    lead = df.columns if keep is None else list(keep)
+    inner = [f"c{i}" for i in range(len(lead))]
+    rows = df.select(*(F.col(c).alias(n) for c, n in zip(lead, inner)), slot_of(*map(F.col, key_cols), slots=slots).cast("int").alias("slot"))
+    met = rows.join(F.broadcast(table_of(df.sparkSession, shards, slots)), "slot").select(*inner, "slot", "shard")
+    return met.toDF(*kept_names(lead, ("slot", "shard")), "slot", "shard")
 
 
 def oracle_sql(shards=SHARDS, slots: int = SLOTS) -> str:

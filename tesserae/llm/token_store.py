@@ -8,7 +8,7 @@ Layout below the store's folder (all Parquet, so any store that Spark writes to
 - recipes: one row for each document in ascending order of doc_id: doc_id, start (ids before it),
   n_tokens, chunks (keys in order), leaf (SHA-256 of these), part.
 - manifest: one row for each part of the recipes: part, n_docs, start, n_tokens, root (Merkle root
-  of its leaves), and one with part -1 whose root is over the parts' roots.
+  of its leaves), width (WIDTH), and one with part -1 whose root is over the parts' roots.
 
 A document's ids, with the end id, are cut where a rolling hash of the last WINDOW ids has its low
 bits zero, at least LEAST and at most MOST ids after the last cut. Equal passages so give equal
@@ -39,7 +39,7 @@ _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N
 class Encoder:
     """Byte-level BPE of the tokenizers library, with a memo of the encodings of pre-tokens."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, width: int | None = None):
         import json
 
         from tokenizers import Tokenizer
@@ -58,7 +58,7 @@ class Encoder:
         hidden = [b for b in range(256) if b not in shown]
         self.alphabet[hidden] = 256 + np.arange(len(hidden))
         self.alphabet[0] = 0  # the separator
-        self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
+        self.width = width or (2 if self.tok.get_vocab_size() <= 1 << 16 else 4)
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
 
     def _fill(self, words: list[str]) -> dict[str, bytes]:
@@ -102,16 +102,16 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, width: int | None = None) -> Encoder:
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, width) not in _ENCODERS:
+        _ENCODERS[path, width] = Encoder(path, width)
+    return _ENCODERS[path, width]
 
 
 def _marks(ids: np.ndarray) -> np.ndarray:
@@ -187,14 +187,16 @@ def leaf_of(doc_id, start: int, n: int, chunks: list[bytes]) -> bytes:
 _STAGED = "kind int, key binary, n bigint, data binary, chunks array<binary>"
 
 
-def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0) -> None:
-    """Encode every whole text, append end_id (if not None) and write the store at path.
+def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, width: int | None = None) -> None:
+    """Encode every whole text, append end_id (if not None) and write the store at path, with ids of
+    `width` bytes (None: 2 where the vocabulary allows it, else 4).
 
     Null and empty texts hold the end id alone. Rows with equal or null ids are documents of their
     own (nulls first, equals in the order of their chunks' keys). An empty table gives a store
-    without documents. Texts reach the tokenizer whole; special strings in them are handled as the
-    library does by default. Distinct chunks meet in one shuffle, after each task has dropped its
-    own repeats; texts are not shuffled.
+    without documents. Whole texts are encoded, however long: those of plain letters by their
+    pre-tokens, which the library's own model encodes and a memo keeps, all others by the library;
+    special strings are handled as the library does by default. Distinct chunks meet in one shuffle,
+    after each task has dropped its own repeats; texts are not shuffled. The folder is the caller's.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -207,7 +209,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
         import gc
 
         gc.set_threshold(200_000, 20, 100)  # the memo is millions of objects without cycles
-        enc, seen, serial, task = encoder(tokenizer_path), set(), 0, TaskContext.get().partitionId()
+        enc, seen, serial, task = encoder(tokenizer_path, width), set(), 0, TaskContext.get().partitionId()
         end = b"" if end_id is None else np.array([end_id]).astype(enc.kind).tobytes()
         for whole in batches:
             for b in slices(whole, "t", 2 << 20):
@@ -237,10 +239,10 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
 
     staged = base.mapInArrow(run, f"{_STAGED}, doc_id {kind}")
     staged.dropDuplicates(["key"]).write.mode("overwrite").partitionBy("kind").option("compression", "none").parquet(f"{path}/chunks")
-    _write_recipes(spark, path, kind)
+    _write_recipes(spark, path, kind, encoder(tokenizer_path, width).width)
 
 
-def _write_recipes(spark: SparkSession, path: str, kind: str) -> None:
+def _write_recipes(spark: SparkSession, path: str, kind: str, width: int) -> None:
     raw = spark.read.schema(f"{_STAGED}, doc_id {kind}").parquet(f"{path}/chunks").where("kind = 0").select("doc_id", F.col("n").alias("n_tokens"), "chunks")
     order = ["doc_id", F.xxhash64("chunks"), "n_tokens"]
     dealt = raw.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -263,9 +265,9 @@ def _write_recipes(spark: SparkSession, path: str, kind: str) -> None:
 
     dealt.select("doc_id", "n_tokens", "chunks", "part").mapInArrow(run, f"doc_id {kind}, start bigint, n_tokens bigint, chunks array<binary>, leaf binary, part int").write.mode("overwrite").parquet(f"{path}/recipes")
     parts = _roots(spark.read.parquet(f"{path}/recipes")).orderBy("part").collect()  # a row for each partition
-    rows = [(r.part, r.n_docs, r.start, r.n_tokens, bytes(r.root)) for r in parts]
-    rows.append((-1, sum(r[1] for r in rows), 0, total, merkle([r[4] for r in rows])))
-    spark.createDataFrame(rows, "part int, n_docs bigint, start bigint, n_tokens bigint, root binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+    rows = [(r.part, r.n_docs, r.start, r.n_tokens, bytes(r.root), width) for r in parts]
+    rows.append((-1, sum(r[1] for r in rows), 0, total, merkle([r[4] for r in rows]), width))
+    spark.createDataFrame(rows, "part int, n_docs bigint, start bigint, n_tokens bigint, root binary, width int").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
 
 
 def _roots(recipes: DataFrame) -> DataFrame:
@@ -294,18 +296,24 @@ def _roots(recipes: DataFrame) -> DataFrame:
     return base.repartition("part").sortWithinPartitions("part", "start").drop("x").mapInArrow(run, "part int, n_docs bigint, start bigint, n_tokens bigint, root binary")
 
 
-def read_chunks(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+def width_of(spark: SparkSession, path: str) -> int:
+    """Bytes of an id, from the manifest."""
+    return spark.read.parquet(f"{path}/manifest").where("part = -1").first().width
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """(key, ids) of the distinct chunks; a chunk that does not match its key raises an error."""
-    return _scan(spark, path, width, "key binary, ids array<bigint>", lambda key, ids: (key, ids.tolist()), (pa.binary(), pa.list_(pa.int64())), ("key", "ids"))
+    return _scan(spark, path, "key binary, ids array<bigint>", lambda key, ids: (key, ids.tolist()), (pa.binary(), pa.list_(pa.int64())), ("key", "ids"))
 
 
-def chunk_sums(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+def chunk_sums(spark: SparkSession, path: str) -> DataFrame:
     """(key, n, crc) of the distinct chunks, read and checked; crc over little-endian 32-bit ids."""
-    return _scan(spark, path, width, "key binary, n bigint, crc bigint", lambda key, ids: (key, len(ids), zlib.crc32(ids.astype("<u4").tobytes())), (pa.binary(), pa.int64(), pa.int64()), ("key", "n", "crc"))
+    return _scan(spark, path, "key binary, n bigint, crc bigint", lambda key, ids: (key, len(ids), zlib.crc32(ids.astype("<u4").tobytes())), (pa.binary(), pa.int64(), pa.int64()), ("key", "n", "crc"))
 
 
-def _scan(spark, path, width, schema, row, kinds, names):
+def _scan(spark, path, schema, row, kinds, names):
     ship(spark)
+    width = width_of(spark, path)
 
     def run(batches):
         for b in batches:
@@ -373,22 +381,22 @@ def crc_join(one: int, two: int, n_bytes: int) -> int:
     return (_times(_shift(n_bytes), one) if one else 0) ^ two
 
 
-def read_verified(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+def read_verified(spark: SparkSession, path: str) -> DataFrame:
     """read_documents of a store whose recipes agree with its manifest; an error if they do not."""
     if not verify_store(spark, path):
         raise ValueError(f"the recipes of {path} do not agree with its manifest")
-    return read_documents(spark, path, width)
+    return read_documents(spark, path)
 
 
-def read_documents(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the chunks that its recipe names.
 
-    Only sums of chunks travel, never their ids. A recipe that names an absent chunk, or whose
-    chunks do not add up to its length, raises an error.
+    Only sums of chunks travel, never their ids. A document without ids has the sum 0. A recipe that
+    names an absent chunk, or whose chunks do not add up to its length, raises an error.
     """
     recipes = spark.read.parquet(f"{path}/recipes")
-    entries = recipes.select("doc_id", "start", F.col("n_tokens").alias("want"), F.posexplode("chunks").alias("at", "key"))
-    met = entries.join(chunk_sums(spark, path, width), "key", "left")
+    entries = recipes.select("doc_id", "start", F.col("n_tokens").alias("want"), F.posexplode_outer("chunks").alias("at", "key"))
+    met = entries.join(chunk_sums(spark, path), "key", "left")
     docs = met.groupBy("doc_id", "start", "want").agg(F.array_sort(F.collect_list(F.struct("at", "n", "crc"))).alias("runs"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -398,6 +406,8 @@ def read_documents(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
             for doc, want, runs in zip(b.column("doc_id").to_pylist(), b.column("want").to_pylist(), b.column("runs").to_pylist()):
                 n, crc = 0, 0
                 for r in runs:
+                    if r["at"] is None:  # a document without ids
+                        continue
                     if r["n"] is None:
                         raise ValueError(f"a chunk of document {doc} is absent")
                     n, crc = n + r["n"], crc_join(crc, r["crc"], 4 * r["n"]) if n else r["crc"]

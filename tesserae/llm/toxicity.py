@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import kept_names, ship, slices
 
-WINDOW, OVERLAP = 64, 12
+WINDOW, OVERLAP = 128, 12
 BALLAST = bytes(range(128, 176))
 #: Bounds of the labelled sample: texts of each class, and bytes of the longest text in it.
 TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_BYTES = 600, 1800, 32_768
@@ -56,7 +56,7 @@ def compressor(content: bytes):
     import zstandard as z
 
     p = z.ZstdCompressionParameters(format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False,
-                                    window_log=18, hash_log=17, chain_log=19, search_log=6, min_match=5, strategy=z.STRATEGY_BTLAZY2)
+                                    window_log=18, hash_log=17, chain_log=19, search_log=4, min_match=5, strategy=z.STRATEGY_BTLAZY2)
     d = z.ZstdCompressionDict(content + BALLAST, dict_type=z.DICT_TYPE_RAWCONTENT)
     d.precompute_compress(compression_params=p)
     return z.ZstdCompressor(dict_data=d, compression_params=p)

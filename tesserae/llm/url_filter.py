@@ -82,9 +82,14 @@ def _filter(keys: DataFrame, level: int, count: int, rate: float) -> tuple[int,
     bits = max(64, -(-int(count * hashes / math.log(2)) // 64) * 64)
     at = keys.select(F.explode(_probes(F.col("k"), level, bits, hashes)).alias("b"))
     words = at.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v"))
+    def pack(batches):
+        for b in batches:  # words as bytes: a row for each batch, not for each word
+            w, v = b.column("w").to_numpy().astype("<i8"), b.column("v").to_numpy().astype("<i8")
+            yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], names=["w", "v"])
+
     out = np.zeros(bits // 64, np.uint64)
-    for r in words.toLocalIterator():  # at most bits / 64 rows, whose size was checked
-        out[r.w] = np.uint64(r.v & 0xFFFFFFFFFFFFFFFF)
+    for r in words.mapInArrow(pack, "w binary, v binary").toLocalIterator():  # 16 bytes for each of at most bits / 64 words, whose number was checked
+        out[np.frombuffer(r.w, "<i8")] = np.frombuffer(r.v, "<i8").view(np.uint64)
     return bits, hashes, out
 
 
@@ -188,8 +193,9 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES, id_col: str = "page_
 
     A rule (host, path prefix) fits its host and all subdomains; the longest one wins. Without a
     rule the verdict is block if the host or a parent domain is among the keys of listed (column
-    k), else allow. Null urls and those without :// have an empty host and path and are allowed.
-    Repeated rows give repeated rows; null ids stay null; other columns are not read.
+    k), else allow. Null urls and those without :// have an empty host and path and are allowed. Long
+    urls count whole. Repeated rows give repeated rows; null ids stay null; other columns are not
+    read. An empty table gives an empty result; without listed keys rules alone decide.
     """
     base = pages.select(F.col(id_col), F.col(url_col).cast("string").alias("__u")).select(F.col(id_col), host_of(F.col("__u")).alias("__host"), path_of(F.col("__u")).alias("__path"))
     found = listed_hosts(base, listed, "__host")

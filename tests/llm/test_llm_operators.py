@@ -283,6 +283,59 @@ def test_store_without_documents(spark, docs, tmp_path):
     assert token_store.read_documents(spark, path).count() == 0 and token_store.verify_store(spark, path)
 
 
+def test_store_without_end_id_and_with_wide_ids(spark, docs, tmp_path):
+    from tokenizers import Tokenizer
+
+    tok, path = Tokenizer.from_file(BYTES), str(tmp_path / "s")
+    token_store.write_store(docs.where("doc_id <> 1"), path, BYTES, end_id=None, width=4)
+    assert token_store.width_of(spark, path) == 4
+    got = {(r.doc_id, r.n_tokens, r.ids_crc32) for r in token_store.read_verified(spark, path).collect()}
+    want = [(i, tok.encode(t or "", add_special_tokens=False).ids) for i, t in ROWS if i not in (None, 1)]
+    assert got == {(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want}
+
+
+def test_damaged_and_absent_chunks(spark, docs, tmp_path):
+    import glob
+    import os
+    import shutil
+
+    path = str(tmp_path / "s")
+    token_store.write_store(docs, path, BYTES)
+    chunks = spark.read.parquet(f"{path}/chunks/kind=1")
+    for n, changed in enumerate((chunks.withColumn("data", F.first("data").over(token_store_window())), chunks.limit(1))):
+        other = str(tmp_path / f"c{n}")
+        shutil.copytree(path, other)
+        shutil.rmtree(f"{other}/chunks/kind=1")
+        changed.write.parquet(f"{other}/chunks/kind=1")
+        for junk in glob.glob(f"{other}/chunks/kind=1/_*"):
+            os.remove(junk)
+        with pytest.raises(Exception, match="damaged|absent"):
+            token_store.read_documents(spark, other).collect()
+
+
+def token_store_window():
+    from pyspark.sql import Window
+
+    return Window.partitionBy(F.lit(1)).orderBy("key").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def test_kept_columns_with_clashing_names(spark, docs):
+    """Each operator that carries columns along, with columns called as its own."""
+    clash = docs.select("doc_id", "text", "slot", "shard", "score", "predicted", "n_words", "contaminated", F.lit("a/b").alias("path"), "license", F.lit(7).alias("hit"))
+    all_ = ["doc_id", "slot", "shard"]
+    got = sharding.assign(clash, ["doc_id"], keep=all_)
+    assert got.columns == ["doc_id", "slot_", "shard_", "slot", "shard"] and {r.slot_ for r in got.collect()} == {"slot"}
+    assert sharding.assign(clash, ["doc_id"]).columns[2:4] == ["slot_", "shard_"]
+    model = toxicity.Model(None, np.array([0.25]), np.zeros(0), np.ones(0))
+    got = toxicity.score(clash, model, keep=["score", "doc_id", "text", "predicted"])
+    assert got.columns == ["score_", "doc_id", "text", "predicted_", "score", "predicted"] and {(r.score_, r.score) for r in got.collect()} == {("score", 0.25)}
+    items = spark.createDataFrame([(1, "Hello World")], "item_id bigint, text string")
+    got = D.decontaminate(clash, items, keep=["n_words", "doc_id", "contaminated", "hit"])
+    assert got.columns[:4] == ["n_words_", "doc_id", "contaminated_", "hit"] and {r.hit for r in got.collect()} == {7} and any(r.contaminated for r in got.collect())
+    got = license_scan.scan(clash, keep=["doc_id", "path", "score"])
+    assert got.columns == ["doc_id", "path_", "score_", *license_scan.OWN] and got.count() == len(ROWS)
+
+
 def test_fast_split_equals_the_library():
     from tokenizers import Tokenizer
 
@@ -432,26 +485,51 @@ def test_licenses(spark):
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
-def test_license_scores_equal_brute_force(spark):
-    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", F.concat_ws("/", "source", "doc_id").alias("path"))
-    got = {r.doc_id: (r.license, r.score) if r.how in ("header", "file") else None for r in license_scan.scan(docs, keep=["doc_id"]).collect()}
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    find = lambda t: re.findall(license_scan.TERM, t.lower())
-    vocab = {t for _, x in license_scan.TEMPLATES for t in find(x)}
-    sets = [set(find(x)) for x in texts.values()]
-    df = {t: sum(t in x for x in sets) for t in vocab}
-    idf = lambda t: math.log((1 + len(texts)) / (1 + df.get(t, 0))) + 1
+def brute_licenses(texts):
+    """(name, score, whole) of each text, or None: the text as a whole, else its best line or paragraph."""
+    find = lambda t: re.findall(license_scan.TERM, (t or "").lower())
+    df = Counter(w for t in texts for w in set(find(t)))
+    idf = lambda w: math.log((1 + len(texts)) / (1 + df[w])) + 1
     vec = lambda t: {w: n * idf(w) for w, n in Counter(find(t)).items()}
+    norm = lambda a: math.sqrt(sum(x * x for x in a.values()))
+    templates = [(n, v, norm(v)) for n, t in license_scan.TEMPLATES for v in (vec(t),)]
 
-    def cosine(a, b):
-        norm = math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
-        return sum(x * b.get(w, 0) for w, x in a.items()) / norm if norm else 0
+    def best(units):
+        got = [(round(sum(x * v.get(w, 0) for w, x in u.items()) / (norm(u) * m), 6), -k, n) for u in map(vec, units) if u for k, (n, v, m) in enumerate(templates)]
+        return max(got, default=(0, 0, None))
 
-    templates = [(n, vec(t)) for n, t in license_scan.TEMPLATES]
-    for i, text in texts.items():
-        units = [vec(u) for u in text.split("\n") + [text]]
-        best = max((round(cosine(u, v), 6), -k, n) for u in units for k, (n, v) in enumerate(templates))
-        assert got[i] == ((best[2], pytest.approx(best[0], abs=2e-6)) if best[0] >= license_scan.THRESHOLD else None), i
+    out = []
+    for t in texts:
+        head, whole = best((t or "").split("\n") + re.split(license_scan.PARAGRAPH, t or "")), best([t or ""])
+        own = next((x for x in (whole, head) if x[0] >= license_scan.THRESHOLD), None)
+        out.append(own and (own[2], own[0], whole[0] >= license_scan.THRESHOLD))
+    return out
+
+
+def test_license_scores_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", F.concat_ws("/", "source", "doc_id").alias("path"))
+    rows_ = [(r.doc_id, r.text, r.path) for r in docs.collect()]
+    texts = dict(license_scan.TEMPLATES[13:])
+    copyright = "Copyright (c) 2020 Someone\n\n"
+    rows_ += [(-1, copyright + texts["ISC"], "x/a"), (-2, copyright + texts["BSD-2-Clause"].replace(". ", ".\n\n"), "y/a"), (-3, None, "z/a"), (-4, "", "z/b"), (-5, rows_[0][1], "z/c")]
+    got = {r.doc_id: (r.license, r.score, r.how) for r in license_scan.scan(spark.createDataFrame(rows_, "doc_id bigint, text string, path string"), keep=["doc_id"]).collect()}
+    want = brute_licenses([t for _, t, _ in rows_])
+    assert got[-1][0] == "ISC" and got[-1][2] == "file" and got[-2][0] == "BSD-2-Clause"
+    assert sum(w is not None for w in want) >= 5
+    for (i, _, _), w in zip(rows_, want):
+        assert (got[i][0], got[i][2]) == (w[0], "file" if w[2] else "header") and got[i][1] == pytest.approx(w[1], abs=2e-6) if w else got[i][2] in ("none", "inherited"), i
+
+
+def test_license_files_of_a_directory(spark):
+    """A heading in a file called LICENSE; two files of one directory; equal scores; a kept column with a clashing name."""
+    gpl = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Everyone is permitted to copy and distribute verbatim copies of this document, but changing it is not allowed.\n\n" + "The following terms apply to everything else here. " * 40
+    mit = "Released under the MIT License."
+    rows_ = [("a/LICENSE", gpl, 1), ("a/b/x.py", "x", 2), ("c/LICENSE", mit + "\nfoo bar baz qux", 3), ("c/COPYING", mit, 4), ("c/y.py", "y", 5), ("d/LICENSE", mit, 6), ("d/NOTICE", "Licensed under CC BY 4.0.", 7), ("d/z.py", "z", 8), *((f"e/{i}", f"the other words {i}", 9) for i in range(30))]
+    got = {r.path: r for r in license_scan.scan(spark.createDataFrame(rows_, "path string, text string, license int"), keep=["license"]).collect()}
+    assert got["a/LICENSE"].license == "GPL-3.0-only" and (got["a/b/x.py"].license, got["a/b/x.py"].how, got["a/b/x.py"].from_dir) == ("GPL-3.0-only", "inherited", "a")
+    assert got["c/y.py"].license == "MIT" and got["c/y.py"].license_ == 5
+    assert got["d/z.py"].license == "MIT"  # equal scores: the template that comes first
+    assert got["e/3"].how == "none" and got["e/3"].license is None
 
 
 # 2: toxicity
