@@ -57,6 +57,7 @@ class Engine:
         if spark.conf.get("spark.sql.session.timeZone") != "UTC":
             raise ConfigurationError("the session's time zone must be UTC")
         self.spark, self.config, self.store = spark, config, Store(spark, config.path)
+        self.store.migrate()
 
     def scope(self, tenant_id: str, namespace: str, user_id: str | None = None) -> "Memory":
         return Memory(self, Scope(tenant_id, namespace, user_id))
@@ -72,8 +73,9 @@ class Memory:
 
     # Reads
 
-    def _rows(self, active: bool = True) -> DataFrame:
-        return self.scope_.read(self.store.latest("insights"), active)
+    def _rows(self, active: bool = True, vectors: bool = False) -> DataFrame:
+        """Rows of the scope; embeddings are read only if they are asked for."""
+        return self.scope_.read(self.store.latest("insights", without=() if vectors else ("embedding",)), active)
 
     def _edges(self) -> DataFrame:
         return self.scope_.read(self.store.latest("edges"))
@@ -106,7 +108,7 @@ class Memory:
         return [{"id": r.id, "operation": r.operation, "insight_id": r.insight_id, "detail": json.loads(r.detail or "{}"), "created_at": r.created_at} for r in rows.orderBy(F.desc("created_at"), F.desc("id")).limit(limit).collect()]
 
     def status(self) -> dict:
-        n = self._rows().agg(F.count("*").alias("insights"), F.count("embedding").alias("embeddings")).first()
+        n = self._rows(vectors=True).agg(F.count("*").alias("insights"), F.count("embedding").alias("embeddings")).first()
         e = self._edges().agg(F.count("*").alias("edges"), *(F.count_if(F.col("edge_type") == t).alias(t) for t in C.EDGE_TYPES)).first()
         return {"insights": n.insights, "embeddings": n.embeddings, "edges": e.edges, "by_type": {t: e[t] for t in C.EDGE_TYPES}}
 
@@ -143,7 +145,7 @@ class Memory:
             validate.one_of(intent, "intent", C.INTENTS)
         if category is not None:
             validate.one_of(category, "category", C.CATEGORIES)
-        rows = self._rows().withColumn("tokens", F.col("search_tokens"))
+        rows = self._rows(vectors=self.config.provider is not None).withColumn("tokens", F.col("search_tokens"))
         vector = self._embed(query, "query") if self.config.provider else None
         words = self._entities(query, rows)
         q = self._query(query).withColumns({"entities": F.array(*map(F.lit, words)).cast("array<string>"), "intent": F.lit(intent) if intent else scoring.detect_intent(F.col("query"))})
@@ -155,7 +157,7 @@ class Memory:
         if vector is not None:
             q = q.withColumn("vector", F.array(*map(F.lit, vector)))
             vectors = rows.where("embedding is not null").select("id", "embedding")
-        hits = plan_recall(rows.drop("embedding"), self._edges(), q, vectors, limit, self.config.max_candidates).orderBy("place").collect()
+        hits = plan_recall(rows.drop("embedding") if vectors is not None else rows, self._edges(), q, vectors, limit, self.config.max_candidates).orderBy("place").collect()
         found = {r.id: public(r) for r in self._ids(rows, [h.id for h in hits]).collect()}
         used = q.select("intent").first().intent
         out = []
@@ -226,7 +228,7 @@ class Memory:
     def remember(self, content: str, **more) -> dict:
         i = validate.remember({"content": content, "source": self.config.default_source} | more)
         now = self.config.clock()
-        rows = self._rows()
+        rows = self._rows(vectors=self.config.provider is not None)
         h = hashlib.sha256(normal(content).encode()).hexdigest()
         exact = rows.where((F.col("content_hash") == h) & ~F.col("managed")).orderBy("id").first()
         if exact:
@@ -268,7 +270,7 @@ class Memory:
         if old and not old.managed:
             raise ValidationError("id", "the row is not a managed one")
         vector = self._embed(content, "document") if self.config.provider else None
-        rows = self._rows().where(F.col("id") != id)
+        rows = self._rows(vectors=self.config.provider is not None).where(F.col("id") != id)
         record, edges = self._build(i, {"id": id, "metadata": validate.metadata(metadata), "managed": True}, vector, rows, now)
         if old:
             record |= {k: old[k] for k in ("created_at", "stored_at", "access_count", "last_accessed_at")}
@@ -374,12 +376,12 @@ class Memory:
         return {"source_id": s, "target_id": t, "edge_type": edge_type, "weight": float(weight)}
 
     def _refresh(self, ids: list[str], now: dt.datetime) -> None:
-        scored = self._scored(now).where(F.col("id").isin(*ids)).withColumn("effective_importance", F.col("ei"))
-        self.store.commit({"insights": [r.asDict() for r in scored.select(*self._rows().columns).collect()]})
+        scored = self._scored(now, vectors=True).where(F.col("id").isin(*ids)).withColumn("effective_importance", F.col("ei"))
+        self.store.commit({"insights": [r.asDict() for r in scored.drop("n", "edges", "ei").collect()]})
 
     def forget(self, id: str) -> bool:
         id, now = validate.uuid(id, "id"), self.config.clock()
-        row = self._rows().where(F.col("id") == id).first()
+        row = self._rows(vectors=True).where(F.col("id") == id).first()
         if not row:
             return False
         gone = [r.asDict() | {"gone": True} for r in self._edges().where((F.col("source_id") == id) | (F.col("target_id") == id)).collect()]
@@ -387,7 +389,7 @@ class Memory:
         return True
 
     def _access(self, ids: list[str], now: dt.datetime, by: int, op: dict) -> None:
-        rows = [r.asDict() | {"access_count": r.access_count + by, "last_accessed_at": now, "updated_at": max(now, r.updated_at.astimezone(dt.timezone.utc))} for r in self._ids(self._rows(), ids).collect()]
+        rows = [r.asDict() | {"access_count": r.access_count + by, "last_accessed_at": now, "updated_at": max(now, r.updated_at.astimezone(dt.timezone.utc))} for r in self._ids(self._rows(vectors=True), ids).collect()]
         self.store.commit({"insights": rows, "oplog": [op]})
 
     def keep(self, id: str) -> dict:
@@ -398,9 +400,9 @@ class Memory:
         self._refresh([id], now)
         return self.get(id)
 
-    def _scored(self, now: dt.datetime) -> DataFrame:
+    def _scored(self, now: dt.datetime, vectors: bool = False) -> DataFrame:
         n = E.degrees(self._edges())
-        rows = self._rows().join(n, "id", "left").withColumn("edges", F.coalesce("n", F.lit(0)))
+        rows = self._rows(vectors=vectors).join(n, "id", "left").withColumn("edges", F.coalesce("n", F.lit(0)))
         days = scoring.days_since(F.lit(now), F.col("last_accessed_at"), F.col("created_at"))
         return rows.withColumn("ei", scoring.effective_importance(F.col("importance"), F.col("access_count"), days, F.col("edges")))
 
@@ -412,7 +414,7 @@ class Memory:
         out = [{"insight": public(r), "effective_importance": r.ei, "edge_count": r.edges} for r in low.orderBy("ei", "id").limit(limit).collect()]
         total = low.count()
         if write_back:  # only what moved by a hundredth or more
-            moved = scored.where(F.abs(F.col("ei") - F.coalesce("effective_importance", F.lit(-1.0))) >= 0.01).withColumn("effective_importance", F.col("ei"))
+            moved = self._scored(self.config.clock(), vectors=True).where(F.abs(F.col("ei") - F.coalesce("effective_importance", F.lit(-1.0))) >= 0.01).withColumn("effective_importance", F.col("ei"))
             self.store.commit({"insights": moved.drop("n", "edges", "ei")})
         return {"candidates": out, "total": total}
 
@@ -420,12 +422,15 @@ class Memory:
         if not self.config.provider:
             raise ConfigurationError("an embedding provider is needed")
         validate.limit(limit, C.LIST_MAX)
-        bare, now = self._rows().where("embedding is null"), self.config.clock()
+        bare, now = self._rows(vectors=True).where("embedding is null"), self.config.clock()
         total = bare.count()
-        rows = [r.asDict() | {"embedding": self._embed(r.content, "document")} for r in bare.orderBy("created_at", "id").limit(limit).collect()]
-        if rows:
-            self.store.commit({"insights": rows, "oplog": [self._op("embed:backfill", None, {"embedded": len(rows)}, now)], "settings": self._settings(now)})
-        return {"embedded": len(rows), "remaining": total - len(rows)}
+        n = min(total, limit)
+        if n:
+            from tesserae.sources.embedding import embed_column
+
+            rows = bare.orderBy("created_at", "id").limit(limit).withColumn("embedding", embed_column(self.config.provider, F.col("content")))
+            self.store.commit({"insights": rows, "oplog": [self._op("embed:backfill", None, {"embedded": n}, now)], "settings": self._settings(now)})
+        return {"embedded": n, "remaining": total - n}
 
     def prune(self, oplog_before=None, operations_before=None, forgotten_before=None, limit: int = C.PRUNE_LIMIT) -> dict:
         """At most `limit` rows of each kind, the oldest first; versions stay in the log until it is compacted."""
@@ -437,7 +442,7 @@ class Memory:
                 rows = self.scope_.read(self.store.latest(table)).where(F.col("created_at") < F.lit(validate.timestamp(before, name))).orderBy("created_at", order).limit(limit).collect()
                 out[name], changes[table] = len(rows), [r.asDict() | {"gone": True} for r in rows]
         if forgotten_before is not None:
-            dead = self._rows(active=False).where(F.col("deleted_at").isNotNull() & (F.col("content") != "") & (F.col("deleted_at") < F.lit(validate.timestamp(forgotten_before, "forgotten")))).orderBy("deleted_at", "id").limit(limit).collect()
+            dead = self._rows(active=False, vectors=True).where(F.col("deleted_at").isNotNull() & (F.col("content") != "") & (F.col("deleted_at") < F.lit(validate.timestamp(forgotten_before, "forgotten")))).orderBy("deleted_at", "id").limit(limit).collect()
             out["forgotten"], changes["insights"] = len(dead), [r.asDict() | {"content": "", "normalized_content": "", "embedding": None, "search_tokens": [], "entities": [], "tags": []} for r in dead]
         self.store.commit(changes)
         return out
@@ -474,48 +479,82 @@ class Memory:
         return {"insights": out, "edges": n}
 
     def once(self, key: str, fn: Callable[[], object]) -> dict:
-        """fn's JSON result, run at most once for a key; a failure stores nothing. Keys are shared by a namespace's users."""
+        """fn's JSON result, run at most once for a key; a failure stores nothing. Keys are shared by a namespace's users.
+
+        What fn commits to the store is published together with the key, so neither is there without
+        the other. The key bears the wall clock, whatever clock the engine has been given.
+        """
         if not isinstance(key, str) or not 1 <= len(key) <= 512:
             raise ValidationError("key", "key must be 1 to 512 characters")
         kept = self.scope_.read(self.store.latest("operations"), by_user=False).where(F.col("key") == key).first()
         if kept:
             return {"value": json.loads(kept.result), "replayed": True}
-        value = fn()
-        self.store.commit({"operations": [self._stamp({"key": key, "result": json.dumps(value), "created_at": utc_now(), "gone": False})]})
+        with self.store.transaction():
+            value = fn()
+            self.store.commit({"operations": [self._stamp({"key": key, "result": json.dumps(value), "created_at": utc_now(), "gone": False})]})
         return {"value": value, "replayed": False}
 
     def remember_many(self, new: DataFrame) -> int:
         """Bulk load: content, source, category, importance, tags, entities, created_at in ascending order.
 
-        Exact copies (of stored rows or earlier in the batch) are left out; edges come from
-        windows. Equals the one-by-one form if times are strictly increasing, near duplicates are
-        not to be skipped, and entities known are those of before the batch. Ids derive from the
-        scope and the content's hash.
+        Exact copies (of stored rows or earlier in the batch) are left out; with a provider rows are
+        embedded in batches; edges of the five kinds come from windows and joins over the rows that can
+        have a part in them: the batch's sources, days and entities. A row that comes between two
+        neighbours of its source takes the place of their backbone link. Equals the one-by-one form if
+        times are different, near duplicates are not to be skipped, and entities known are those of
+        before the batch. Ids derive from the scope and the content's hash.
         """
-        now = F.lit(self.config.clock())
+        from tesserae.plans.session import settle
+
+        now, provider = F.lit(self.config.clock()), self.config.provider
         h = T.content_hash(T.normalize_content(F.col("content")))
         rows = new.withColumn("content_hash", h)
         rows = rows.join(self._rows().select("content_hash"), "content_hash", "left_anti").groupBy("content_hash").agg(F.min_by(F.struct(*new.columns), F.struct("created_at", "content")).alias("r")).select("content_hash", "r.*")
         key = F.md5(F.concat_ws("\x1f", F.lit(self.scope_.tenant_id), F.lit(self.scope_.namespace), F.coalesce(F.lit(self.scope_.user_id).cast("string"), F.lit("")), "content_hash"))
         names = entities.merge(F.col("entities"), entities.extract(F.col("content"), None))
         rows = self.scope_.stamp(rows).withColumns({"id": F.concat(F.substring(key, 1, 8), F.lit("-"), F.substring(key, 9, 4), F.lit("-5"), F.substring(key, 14, 3), F.lit("-a"), F.substring(key, 18, 3), F.lit("-"), F.substring(key, 21, 12)), "normalized_content": T.normalize_content(F.col("content")), "entities": names})
-        rows = rows.withColumns({"search_tokens": T.search_tokens(F.col("content"), F.col("tags"), F.col("entities")), "metadata": F.lit("{}"), "managed": F.lit(False), "access_count": F.lit(0), "stored_at": now, "updated_at": now, "deleted_at": F.lit(None).cast("timestamp"), "last_accessed_at": F.lit(None).cast("timestamp"), "embedding": F.lit(None).cast("array<float>"), "effective_importance": F.lit(0.5)})
-        from tesserae.plans.session import checkpoint
+        if provider:
+            from tesserae.sources.embedding import embed_column
 
-        rows = checkpoint(rows)
-        all_ = self._rows().select(rows.columns).unionByName(rows).withColumn("tokens", T.tokenize(F.col("content")))
+            vector = embed_column(provider, F.col("content"))
+        else:
+            vector = F.lit(None).cast("array<float>")
+        rows = rows.withColumns({"search_tokens": T.search_tokens(F.col("content"), F.col("tags"), F.col("entities")), "metadata": F.lit("{}"), "managed": F.lit(False), "access_count": F.lit(0), "stored_at": now, "updated_at": now, "deleted_at": F.lit(None).cast("timestamp"), "last_accessed_at": F.lit(None).cast("timestamp"), "embedding": vector, "effective_importance": F.lit(0.5)})
+        rows = settle(rows)
+        count = rows.count()
+        if not count:
+            self.store.commit({"oplog": [self._op("remember_many", None, {"rows": 0}, self.config.clock())]})
+            return 0
         fresh = rows.select("id")
+        old = self._rows()
+        slim = ["id", "namespace", "source", "created_at", "content", "entities"]
+        sources = retrieval.sized(rows.select("source").distinct())
+        lines = settle(old.join(sources, "source", "left_semi").select(*slim).unionByName(rows.select(*slim)))
+        first, last = rows.agg(F.min("created_at"), F.max("created_at")).first()
+        day = F.expr(f"interval {C.TEMPORAL_HOURS} hours")
+        days = old.where(F.col("created_at").between(F.lit(first) - day, F.lit(last) + day)).select(*slim).unionByName(rows.select(*slim))
+        low = F.transform("entities", F.lower)
+        named = old.select("id", "created_at", "entities", F.explode(low).alias("e")).join(rows.select(F.explode(low).alias("e")).distinct(), "e", "left_semi").select("id", "created_at", "entities").dropDuplicates(["id"]).unionByName(rows.select("id", "created_at", "entities"))
         meta = lambda *kv: F.create_map(*(F.lit(x) if not hasattr(x, "alias") else x for x in kv))
-        b = E.backbone(all_).select("source_id", "target_id", "edge_type", "weight", meta("sub_type", "backbone", "direction", F.col("direction")).alias("metadata"))
-        p = E.proximity(all_).select("source_id", "target_id", "edge_type", "weight", meta("sub_type", "proximity", "hours_diff", F.format_string("%.2f", "hours")).alias("metadata"))
-        n = E.entity_links(all_).select("source_id", "target_id", "edge_type", "weight", meta("entity", F.col("entity")).alias("metadata"))
-        c = E.causal(all_).select("source_id", "target_id", "edge_type", "weight", meta("sub_type", F.col("sub_type"), "overlap", F.format_string("%.4f", "weight")).alias("metadata"))
-        edges = b.union(p).union(n).union(c)
+        link = settle(E.backbone(lines).select("source_id", "target_id", "edge_type", "weight", meta("sub_type", "backbone", "direction", F.col("direction")).alias("metadata")))
+        p = E.proximity(days).select("source_id", "target_id", "edge_type", "weight", meta("sub_type", "proximity", "hours_diff", F.format_string("%.2f", "hours")).alias("metadata"))
+        n = E.entity_links(named).select("source_id", "target_id", "edge_type", "weight", meta("entity", F.col("entity")).alias("metadata"))
+        c = E.causal(lines.withColumn("tokens", T.tokenize(F.col("content")))).select("source_id", "target_id", "edge_type", "weight", meta("sub_type", F.col("sub_type"), "overlap", F.format_string("%.4f", "weight")).alias("metadata"))
+        edges = link.union(p).union(n).union(c)
+        if provider:
+            stored = self._rows(vectors=True).where("embedding is not null").select("id", "embedding", F.lit(0).cast("bigint").alias("seq"))
+            place = rows.where("embedding is not null").select("id", "embedding", F.unix_micros("created_at").alias("seq"))
+            asked = place.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"), "seq")
+            near = retrieval.knn(stored.withColumn("seq", F.lit(-(1 << 62))).unionByName(place), asked, C.SEMANTIC_EDGES)
+            sem = E.semantic(near, C.SEMANTIC_EDGE)
+            edges = edges.union(sem.select("source_id", "target_id", "edge_type", "weight", meta("cosine", F.format_string("%.4f", "weight")).alias("metadata")))
         edges = edges.join(fresh.select(F.col("id").alias("source_id")), "source_id", "left_semi").union(edges.join(fresh.select(F.col("id").alias("target_id")), "target_id", "left_semi").select(edges.columns))
-        first = edges.groupBy("source_id", "target_id", "edge_type").agg(F.max_by(F.struct("weight", "metadata"), "weight").alias("e")).select("source_id", "target_id", "edge_type", "e.*")
-        out = self.scope_.stamp(first).withColumns({"created_at": now, "derived": F.lit(True), "edge_seq": F.xxhash64("source_id", "target_id"), "gone": F.lit(False)})
-        count = rows.count()
-        self.store.commit({"insights": rows, "edges": out, "oplog": [self._op("remember_many", None, {"rows": count}, self.config.clock())]})
+        one = edges.groupBy("source_id", "target_id", "edge_type").agg(F.max_by(F.struct("weight", "metadata"), "weight").alias("e")).select("source_id", "target_id", "edge_type", "e.*")
+        out = self.scope_.stamp(one).withColumns({"created_at": now, "derived": F.lit(True), "edge_seq": F.xxhash64("source_id", "target_id"), "gone": F.lit(False)})
+        ends = lines.select("id")
+        spliced = self._edges().where((F.col("edge_type") == "temporal") & F.col("derived") & (F.col("metadata")["sub_type"] == "backbone"))
+        spliced = spliced.join(ends.select(F.col("id").alias("source_id")), "source_id", "left_semi").join(link.select("source_id", "target_id"), ["source_id", "target_id"], "left_anti").withColumn("gone", F.lit(True))
+        self.store.commit({"insights": rows, "edges": out.unionByName(spliced.select(out.columns)), "oplog": [self._op("remember_many", None, {"rows": count}, self.config.clock())], "settings": self._settings(self.config.clock())})
         return count
 
 

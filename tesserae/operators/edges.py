@@ -1,7 +1,7 @@
 """Bulk builders of typed edges, for rows that arrive in ascending (created_at, id).
 
 Each builder is a window, or an equality join on what the ends share; both directions are put out
-by exploding two structs, so inputs are read once.
+by exploding two structs. Temporal links of a busy source or namespace are built day by day.
 """
 from __future__ import annotations
 
@@ -19,17 +19,36 @@ def _both(a: Column, b: Column, **fields) -> Column:
     return F.explode(F.array(pair(a, b, "precedes"), pair(b, a, "succeeds")))
 
 
+def _previous(insights: DataFrame, by: tuple) -> DataFrame:
+    """(by, id, prev): each row's predecessor by (created_at, id), of a busy group day by day.
+
+    Within a day it is the row before; a day's first row follows the last one of the day before it that
+    has any. Only a row for each day of a group meets in one task.
+    """
+    own = insights.select(*by, "id", "created_at", F.floor(F.unix_micros("created_at") / F.lit(86_400_000_000)).alias("day"))
+    inside = own.select(*by, "day", "id", F.lag("id").over(W.partitionBy(*by, "day").orderBy("created_at", "id")).alias("before"))
+    days = own.groupBy(*by, "day").agg(F.max_by("id", F.struct("created_at", "id")).alias("last"), F.min_by("id", F.struct("created_at", "id")).alias("first"))
+    days = days.select(*by, F.col("first").alias("id"), F.lag("last").over(W.partitionBy(*by).orderBy("day")).alias("over")).where("over is not null")
+    return inside.join(days, [*by, "id"], "left").select(*by, "id", F.coalesce("before", "over").alias("prev"))
+
+
 def backbone(insights: DataFrame, by: tuple = ("namespace", "source")) -> DataFrame:
     """Consecutive rows of a source, weight 1. Times must be different within a source."""
-    w = W.partitionBy(*by).orderBy("created_at", "id")
-    prev = insights.select(*by, "id", F.lag("id").over(w).alias("prev")).where("prev is not null")
+    prev = _previous(insights, by).where("prev is not null")
     return prev.select(_both(F.col("prev"), F.col("id"), weight=F.lit(1.0)).alias("e")).select("e.*").withColumn("edge_type", F.lit("temporal")).withColumn("sub_type", F.lit("backbone"))
 
 
 def proximity(insights: DataFrame, by: tuple = ("namespace",), source: str = "source") -> DataFrame:
-    """The 10 newest earlier rows of at most 24 hours before, less the backbone neighbour; weight 1 / (1 + hours)."""
-    w = W.partitionBy(*by).orderBy("created_at", "id").rowsBetween(-PROXIMITY_LINKS, -1)
-    near = insights.select("id", "created_at", F.lag("id").over(W.partitionBy(*by, source).orderBy("created_at", "id")).alias("prev"), F.collect_list(F.struct("id", "created_at")).over(w).alias("around"))
+    """The 10 newest earlier rows of at most 24 hours before, less the backbone neighbour; weight 1 / (1 + hours).
+
+    Rows are windowed by day: each also stands in the day after its own, where it only can be a
+    neighbour, so that a busy namespace is as many tasks as it has days.
+    """
+    day = F.floor(F.unix_micros("created_at") / F.lit(TEMPORAL_HOURS * 3_600_000_000))
+    both = insights.select("id", "created_at", *by, source, day.alias("own"), F.explode(F.array(day, day + 1)).alias("day"))
+    w = W.partitionBy(*by, "day").orderBy("created_at", "id")
+    prev = F.lag("id").over(W.partitionBy(*by, "day", source).orderBy("created_at", "id"))  # an older one is no candidate anyway
+    near = both.select("id", "created_at", "own", "day", prev.alias("prev"), F.collect_list(F.struct("id", "created_at")).over(w.rowsBetween(-PROXIMITY_LINKS, -1)).alias("around")).where("own = day")
     pairs = near.select("id", "created_at", "prev", F.explode("around").alias("o"))
     hours = (F.unix_micros("created_at") - F.unix_micros("o.created_at")) / F.lit(3_600_000_000.0)
     pairs = pairs.where((hours <= TEMPORAL_HOURS) & ~F.col("o.id").eqNullSafe(F.col("prev"))).withColumn("h", hours)

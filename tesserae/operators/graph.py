@@ -1,11 +1,13 @@
 """Bounded walks over an edge table, for batches of queries.
 
 A walk is a loop of at most five jobs on the driver; what it carries are frames, whose lineage each
-hop cuts by a checkpoint. Frontiers are bounded by beam and anchors, so the edge table is the only
+hop cuts by a written table. Frontiers are bounded by beam and anchors, so the edge table is the only
 large side of a hop, and it is read by an equality join on one column.
 """
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from tesserae.constants import INTENT_WEIGHTS, LAMBDA_EDGE, LAMBDA_VECTOR, MAX_CANDIDATES, TRAVERSAL
 from tesserae.functions.scoring import intent_weight
 from tesserae.functions.similarity import cosine
+from tesserae.operators.retrieval import sized
 from tesserae.plans.session import settle
 
 
@@ -33,14 +36,16 @@ def walk(anchors: DataFrame, edges: DataFrame, queries: DataFrame, vectors: Data
     both = undirected(edges.select("source_id", "target_id", "edge_type", "weight"))
     limit = lambda i: F.coalesce(*[F.when(F.col("intent") == n, F.lit(t[i])) for n, t in TRAVERSAL.items()])
     q = queries.select("query_id", "intent", limit(0).alias("beam"), limit(1).alias("depth"), limit(2).alias("visited"), *(["vector"] if vectors is not None else []))
+    q, asked = sized(q), sized(q.select("query_id", "vector")) if vectors is not None else None
     best = settle(anchors.select("query_id", "id", "score", "via"))
-    frontier = best.select("query_id", F.col("id").alias("anchor"), "id", "score").join(F.broadcast(q), "query_id")
+    frontier = best.select("query_id", F.col("id").alias("anchor"), "id", "score").join(q, "query_id")
     seen = frontier.select("query_id", "anchor", "id")
-    for hop in range(max(t[1] for t in TRAVERSAL.values())):
+    deepest = queries.agg(F.max(limit(1))).first()[0] or 0
+    for hop in range(deepest):
         live = frontier.where(F.col("depth") > hop)
         rows = live.join(both, live.id == both.a).select("query_id", "anchor", F.col("b").alias("id"), "edge_type", (F.col("score") + LAMBDA_EDGE * intent_weight(F.col("intent"), F.col("edge_type")) * F.col("weight")).alias("score"))
         if vectors is not None:
-            rows = rows.join(vectors.select("id", "embedding"), "id", "left").join(F.broadcast(q.select("query_id", "vector")), "query_id")
+            rows = rows.join(vectors.select("id", "embedding"), "id", "left").join(asked, "query_id")
             near = F.when(F.col("embedding").isNotNull() & F.col("vector").isNotNull(), F.greatest(F.lit(0.0), cosine(F.col("embedding"), F.col("vector")))).otherwise(0.0)
             rows = rows.withColumn("score", F.col("score") + LAMBDA_VECTOR * near).drop("embedding", "vector")
         rows = settle(rows)
@@ -51,10 +56,12 @@ def walk(anchors: DataFrame, edges: DataFrame, queries: DataFrame, vectors: Data
         joined = old.join(top.alias("new"), ["query_id", "id"], "full")
         better = F.col("t.score") > F.coalesce(F.col("old.score"), F.lit(float("-inf")))
         best = settle(joined.select("query_id", "id", F.when(better, F.col("t.score")).otherwise(F.col("old.score")).alias("score"), F.when(better, F.col("t.edge_type")).otherwise(F.col("old.via")).alias("via")))
+        if hop + 1 == deepest:  # nothing is walked from here
+            break
         fresh = rows.groupBy("query_id", "anchor", "id").agg(F.max("score").alias("score")).join(seen, ["query_id", "anchor", "id"], "left_anti")
         counted = seen.groupBy("query_id", "anchor").agg(F.count("*").alias("n"))
         order = W.partitionBy("query_id", "anchor").orderBy(F.desc("score"), "id")
-        fresh = fresh.withColumn("r", F.row_number().over(order)).join(counted, ["query_id", "anchor"]).join(F.broadcast(q), "query_id")
+        fresh = fresh.withColumn("r", F.row_number().over(order)).join(counted, ["query_id", "anchor"]).join(q, "query_id")
         fresh = settle(fresh.where(F.col("r") <= F.col("visited") - F.col("n")))
         seen = settle(seen.union(fresh.select("query_id", "anchor", "id")))
         full = seen.groupBy("query_id", "anchor").agg(F.count("*").alias("m"))
@@ -89,43 +96,47 @@ def related(start: DataFrame, edges: DataFrame, depth: int, limit: int, edge_typ
 
 
 def causal_order(ids: list, scores: dict, edges: list[tuple]) -> list:
-    """Topological order of ids over causal edges; the ready ones by score, then id; cycles last, as they came."""
-    own = set(ids)
-    out, inn = {i: set() for i in ids}, {i: set() for i in ids}
+    """ids with causes before effects. Of those whose causes are all placed the one with the highest score
+    comes next, then the least id; what is left on cycles keeps the order in which it came."""
+    effects: dict = {i: set() for i in ids}
     for s, t in edges:
-        if s in own and t in own and s != t:
-            out[s].add(t)
-            inn[t].add(s)
-    wait = {i: len(inn[i]) for i in ids}
-    ready, done = [i for i in ids if not wait[i]], []
-    while ready:
-        ready.sort(key=lambda i: (-scores[i], i))
-        i = ready.pop(0)
-        done.append(i)
-        for t in out[i]:
-            wait[t] -= 1
-            if not wait[t]:
-                ready.append(t)
-    left = set(done)
-    return done + [i for i in ids if i not in left]
+        if s in effects and t in effects and s != t:
+            effects[s].add(t)
+    open_ = dict.fromkeys(ids, 0)
+    for ts in effects.values():
+        for t in ts:
+            open_[t] += 1
+    queue = [(-scores[i], i) for i, n in open_.items() if n == 0]
+    heapq.heapify(queue)
+    place: dict = {}
+    while queue:
+        i = heapq.heappop(queue)[1]
+        place[i] = len(place)
+        for t in effects[i]:
+            open_[t] -= 1
+            if open_[t] == 0:
+                heapq.heappush(queue, (-scores[t], t))
+    return sorted(ids, key=lambda i: place.get(i, len(ids)))
 
 
 def topological(hits: DataFrame, edges: DataFrame) -> DataFrame:
-    """hits (query_id, id, score) with place, by causal_order within each query; a query has at most 100 hits."""
+    """hits (query_id, id, score and, if they are ordered otherwise than by score and id, place) with a place
+    by causal_order within each query; a query has at most 100 hits."""
     causal = edges.where("edge_type = 'causal'").select("source_id", "target_id")
     pairs = hits.select("query_id", F.col("id").alias("source_id")).join(causal, "source_id").join(hits.select("query_id", F.col("id").alias("target_id")), ["query_id", "target_id"])
     links = pairs.groupBy("query_id").agg(F.collect_set(F.struct("source_id", "target_id")).alias("links"))
-    base = hits.join(links, "query_id", "left")
+    order = ["place"] if "place" in hits.columns else ["score", "id"]
+    base = hits.select("query_id", "id", "score", *(c for c in order if c == "place")).join(links, "query_id", "left")
     schema = f"query_id {hits.schema['query_id'].dataType.simpleString()}, id {hits.schema['id'].dataType.simpleString()}, place int"
 
     def run(pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values(["score", "id"], ascending=[False, True])
+        pdf = pdf.sort_values(order, ascending=[True] if order == ["place"] else [False, True])
         got = pdf.links.iloc[0]
         pairs = [(r["source_id"], r["target_id"]) for r in got] if got is not None else []
-        order = causal_order(pdf.id.tolist(), dict(zip(pdf.id, pdf.score)), pairs)
-        return pd.DataFrame({"query_id": pdf.query_id.iloc[0], "id": order, "place": range(1, len(order) + 1)})
+        ids = causal_order(pdf.id.tolist(), dict(zip(pdf.id, pdf.score)), pairs)
+        return pd.DataFrame({"query_id": pdf.query_id.iloc[0], "id": ids, "place": range(1, len(ids) + 1)})
 
     return base.groupBy("query_id").applyInPandas(run, schema)
 

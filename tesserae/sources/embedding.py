@@ -76,23 +76,27 @@ class HttpProvider:
 
 
 class TableProvider:
-    """Vectors by look-up of "purpose:text", then of the text."""
+    """Vectors by look-up of "purpose:text", then of the text, then the default if there is one."""
 
-    def __init__(self, vectors: dict[str, list[float]], dimensions: int, model: str = "table"):
-        self.vectors, self.dimensions, self.model = vectors, dimensions, model
+    def __init__(self, vectors: dict[str, list[float]], dimensions: int, model: str = "table", default: list[float] | None = None):
+        self.vectors, self.dimensions, self.model, self.default = vectors, dimensions, model, default
 
     def embed(self, text: str, purpose: str) -> list[float]:
-        got = self.vectors.get(f"{purpose}:{text}", self.vectors.get(text))
+        got = self.vectors.get(f"{purpose}:{text}", self.vectors.get(text, self.default))
         if got is None:
             raise EmbeddingError("no vector for a text")
         return got
 
 
 def embed_column(provider, text: Column, purpose: str = "document") -> Column:
-    """Vectors of a column in Arrow batches; null for null. The provider goes to the executors."""
+    """Vectors of a column in Arrow batches; null for null. The provider goes to the executors; a text that
+    stands several times in a batch is asked for once. Another length than the provider's raises an error."""
 
     @F.pandas_udf("array<float>")
     def run(s):
-        return s.map(lambda t: None if t is None else provider.embed(t, purpose))
+        made = {t: [float(x) for x in provider.embed(t, purpose)] for t in s.dropna().unique()}
+        if any(len(v) != provider.dimensions or not all(map(math.isfinite, v)) for v in made.values()):
+            raise EmbeddingError(f"{provider.dimensions} finite numbers are wanted of the provider")
+        return s.map(made.get)
 
     return run(text)

@@ -16,16 +16,10 @@ class Clock:
         return self.now
 
 
-class Table:
-    """Embeddings by look-up."""
+def provider(vectors, model="table"):
+    from tesserae.sources.embedding import TableProvider
 
-    dimensions, model = 4, "table"
-
-    def __init__(self, vectors):
-        self.vectors = vectors
-
-    def embed(self, text, purpose):
-        return self.vectors.get(text, [0.0, 0.0, 0.0, 1.0])
+    return TableProvider(vectors, 4, model, default=[0.0, 0.0, 0.0, 1.0])
 
 
 ROWS = [
@@ -41,7 +35,7 @@ ROWS = [
 @pytest.fixture(scope="module")
 def engine(spark, tmp_path_factory):
     vectors = {ROWS[0][0]: [1.0, 0, 0, 0], "dark mode editor": [1.0, 0, 0, 0], "dark mode": [1.0, 0, 0, 0], ROWS[1][0]: [0.9, 0.1, 0, 0]}
-    return Engine(spark, Config(str(tmp_path_factory.mktemp("store")), provider=Table(vectors), clock=Clock()))
+    return Engine(spark, Config(str(tmp_path_factory.mktemp("store")), provider=provider(vectors), clock=Clock()))
 
 
 @pytest.fixture(scope="module")
@@ -113,18 +107,92 @@ def test_writes(memory):
     assert pruned["oplog"] == 2 and pruned["forgotten"] == 1
 
 
+SCHEMA = "content string, source string, category string, importance int, tags array<string>, entities array<string>, created_at timestamp"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(c, s, k, 3, [], [], dt.datetime.fromisoformat(at)) for c, k, s, at in rows], SCHEMA)
+
+
 def test_bulk_load(engine, spark):
-    m = engine.scope("t1", "bulk")
-    df = spark.createDataFrame([(c, s, k, 3, [], [], dt.datetime.fromisoformat(at)) for c, k, s, at in ROWS + [ROWS[0][:3] + ("2024-05-01T00:00:00Z",)]], "content string, source string, category string, importance int, tags array<string>, entities array<string>, created_at timestamp")
+    m = Engine(spark, Config(engine.config.path, clock=engine.config.clock)).scope("t1", "bulk")
+    df = frame(spark, ROWS + [ROWS[0][:3] + ("2024-05-01T00:00:00Z",)])
     assert m.remember_many(df) == 6
     assert m.remember_many(df) == 0
     s = m.status()
     assert s["insights"] == 6 and s["by_type"]["temporal"] > 0 and s["by_type"]["causal"] >= 1
-    assert m.embed_missing()["embedded"] == 6 and m.embed_missing() == {"embedded": 0, "remaining": 0}
+    own = engine.scope("t1", "bulk")
+    assert own.embed_missing()["embedded"] == 6 and own.embed_missing() == {"embedded": 0, "remaining": 0}
+
+
+def test_bulk_load_equals_one_by_one(spark, tmp_path):
+    """Two batches, the second with a row between two of the first: the same links, the spliced one gone."""
+    vectors = {ROWS[0][0]: [1.0, 0, 0, 0], ROWS[1][0]: [0.9, 0.1, 0, 0], ROWS[2][0]: [0.0, 1, 0, 0], ROWS[3][0]: [0.1, 0.9, 0, 0], ROWS[4][0]: [0.0, 0, 1, 0], ROWS[5][0]: [0.0, 0.1, 0.9, 0]}
+    late = ("A quiet remark in between.", "fact", "ops", "2024-02-01T12:10:00Z")
+    first, second = [r for r in ROWS if r != ROWS[5]], [late, ROWS[5]]
+    links = []
+    for way in ("one", "many"):
+        m = Engine(spark, Config(str(tmp_path / way), provider=provider(vectors), clock=Clock())).scope("t", "n")
+        for batch in (first, second):
+            if way == "many":
+                m.remember_many(frame(spark, batch))
+            else:
+                for c, k, s, at in batch:
+                    m.remember(c, category=k, source=s, created_at=at, deduplicate=False)
+        text = {r.id: r.content for r in m._rows().collect()}
+        links.append({(text[e.source_id], text[e.target_id], e.edge_type, round(e.weight, 6), e.metadata.get("sub_type")) for e in m._edges().collect()})
+    assert links[0] == links[1]
+    assert (ROWS[2][0], ROWS[3][0], "temporal", 1.0, "backbone") not in links[1] and (late[0], ROWS[3][0], "temporal", 1.0, "backbone") in links[1]
+    assert {k for _, _, k, _, _ in links[1]} == {"temporal", "causal", "entity", "semantic"}
+
+
+def test_commits(spark, tmp_path):
+    """What a failed commit has written is never seen, nor what a failed transaction has."""
+    from tesserae.errors import StoreError
+    from tesserae.schema import VERSION
+    from tesserae.sources.store import Store
+
+    st = Store(spark, str(tmp_path / "s"))
+    row = lambda k: {"tenant_id": "t", "namespace": "007", "user_id": "u", "key": k, "result": "1", "created_at": None, "gone": False}
+    keys = lambda: sorted(r.key for r in st.latest("operations").collect())
+    st.commit({"operations": [row("a")]})
+    with pytest.raises(StoreError):
+        st.commit({"operations": [row("ghost")], "edges": spark.range(1)})
+    publish, st._publish = st._publish, lambda rows: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        st.commit({"operations": [row("ghost")]})
+    st._publish = publish
+    st.commit({"operations": [row("b")]})
+    assert keys() == ["a", "b"] and st.latest("operations").first().namespace == "007"
+    with pytest.raises(KeyError), st.transaction():
+        st.commit({"operations": [row("c")]})
+        assert keys() == ["a", "b", "c"]
+        raise KeyError
+    assert keys() == ["a", "b"]
+    with st.transaction():
+        st.commit({"operations": [row("c")]})
+        st.commit({"operations": [row("a") | {"gone": True}]})
+    assert keys() == ["b", "c"] and st.schema_version() == VERSION
+    assert [r.key for r in st.compact(str(tmp_path / "c")).latest("operations").orderBy("key").collect()] == ["b", "c"]
+    st.commit({"settings": [{"key": "schema", "value": str(VERSION + 1), "updated_at": None}]})
+    with pytest.raises(ConfigurationError):
+        st.migrate()
+
+
+def test_once_is_atomic(engine, spark, monkeypatch):
+    m = engine.scope("t9", "once")
+    real = m.store._publish
+    monkeypatch.setattr(m.store, "_publish", lambda rows: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        m.once("k", lambda: m.remember("An effect of its own", source="x")["action"])
+    monkeypatch.setattr(m.store, "_publish", real)
+    assert m.list() == [] and m.peek("k") is None
+    assert m.once("k", lambda: m.remember("An effect of its own", source="x")["action"])["value"] == "added"
+    assert m.once("k", lambda: 1 / 0) == {"value": "added", "replayed": True} and len(m.list()) == 1
 
 
 def test_settings_and_scope(engine, spark):
-    other = Engine(spark, Config(engine.config.path, provider=type("P", (Table,), {"model": "other"})({})))
+    other = Engine(spark, Config(engine.config.path, provider=provider({}, "other")))
     with pytest.raises(ConfigurationError):
         other.scope("t1", "main").remember("A fact about something else entirely")
     with pytest.raises(ValidationError):
