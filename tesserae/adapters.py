@@ -4,7 +4,7 @@ from __future__ import annotations
 import base64
 import hashlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -136,6 +136,12 @@ def digest(*parts: str) -> str:
     return base64.urlsafe_b64encode(hashlib.sha256("\0".join(parts).encode()).digest()).decode().rstrip("=")
 
 
+def digest_column(*parts: Column) -> Column:
+    """digest() of columns."""
+    raw = F.unhex(F.sha2(F.concat_ws("\0", *parts).cast("binary"), 256))
+    return F.rtrim(F.translate(F.base64(raw), "+/", "-_"), F.lit("="))
+
+
 def clip_text(text: str, n: int) -> str:
     return text if len(text) <= n else text[:n - 1] + "…"
 

@@ -1,6 +1,7 @@
 """Write gates: rule-based acceptance of proposed facts, as column expressions.
 
-The patterns are fixed values: results depend on every one of them. Word bounds in them are ASCII.
+The patterns are fixed values: results depend on every one of them. Word bounds in them are ASCII;
+white space is that of SPACE, wherever it stands.
 """
 from __future__ import annotations
 
@@ -9,6 +10,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: White space in the patterns: more than Java's own, which is ASCII.
+SPACE = r"\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 _BOUND = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 SECRETS = (
     r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
@@ -58,17 +61,52 @@ IMPORTANCE_4 = r"(?i)\b(?:must|always|required|mandatory|policy|approved by|owns
 REASONS = ("durable", "transient", "duplicate", "appropriateAudience", "sensitive")
 
 
-def has(text: Column, pattern: str) -> Column:
-    """A bound at the start of a pattern stands before a word in all of them, so one look back is enough there."""
-    start = re.sub(r"(^(?:\(\?i\))?|\|)\\b", lambda m: m[1] + "(?<![A-Za-z0-9_])", pattern)
-    return text.rlike(start.replace(r"\b", _BOUND))
+def java(pattern: str) -> str:
+    """The pattern for Java: white space by SPACE, inside classes and outside, and ASCII word bounds."""
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        two = pattern[i:i + 2]
+        if two == r"\s":
+            out.append(SPACE if inside else f"[{SPACE}]")
+        elif two == r"\S":
+            out.append(f"[^{SPACE}]")
+        elif two == r"\b":
+            out.append(_BOUND)
+        elif two[0] == "\\":
+            out.append(two)
+        else:
+            inside = two[0] == "[" or inside and two[0] != "]"
+            out.append(two[0])
+            i -= 1
+        i += 2
+    return "".join(out)
+
+
+def joined(patterns) -> str:
+    """One pattern that finds, in a text after a blank, what any of the patterns finds. Those that start at a word
+    bound all stand before a word, so it is enough that no word character is in front, which is read only once."""
+    bound, other = [], []
+    for p in patterns:
+        flag, body = ("(?i:", p[4:]) if p.startswith("(?i)") else ("(?:", p)
+        parts = re.split(r"\|(?=\\b)", body)  # alternatives that start at a bound
+        if all(x.startswith(r"\b") for x in parts):
+            bound.append(flag + "|".join(java(x[2:]) for x in parts) + ")")
+        else:
+            other.append(flag + java(body) + ")")
+    return "|".join(([f"[^A-Za-z0-9_](?:{'|'.join(bound)})"] if bound else []) + other)
 
 
 def any_of(text: Column, patterns) -> Column:
+    anchored = [p for p in patterns if p.removeprefix("(?i)").startswith("^")]
     out = F.lit(False)
-    for p in patterns:
-        out = out | has(text, p)
-    return out
+    for p in anchored:
+        out = out | text.rlike(java(p))
+    free = [p for p in patterns if p not in anchored]
+    return out | F.concat(F.lit(" "), text).rlike(joined(free)) if free else out
+
+
+def has(text: Column, pattern: str) -> Column:
+    return any_of(text, [pattern])
 
 
 def secret(text: Column) -> Column:
@@ -129,8 +167,11 @@ def heuristic_gate(fact: Column, kind: Column, related: Column) -> Column:
     return F.struct(accept.alias("accept"), reasons.alias("reasons"), F.when(accept, category(fact)).alias("category"), F.when(accept, importance(fact)).alias("importance"))
 
 
-def judged_gate(probabilities: Column, threshold: float = 0.5) -> Column:
-    """Struct accept, reasons from a map of flag to probability; a value that is absent or not finite rejects."""
+def judged_gate(probabilities: Column, threshold: float = 0.5, supersede: Column | None = None, supersede_threshold: float = 0.8) -> Column:
+    """Struct accept, reasons, supersedes from a map of flag to probability; a value that is absent or not finite rejects.
+
+    supersede is the probability that the fact replaces a known one; it counts for accepted facts only.
+    """
     valid = F.lit(True)
     flags = {}
     for r in REASONS:
@@ -138,7 +179,9 @@ def judged_gate(probabilities: Column, threshold: float = 0.5) -> Column:
         valid = valid & p.isNotNull() & ~F.isnan(p) & (F.abs(p) != float("inf"))
         flags[r] = F.coalesce(p >= threshold, F.lit(False))
     accept, reasons = decide(flags)
-    return F.struct((accept & valid).alias("accept"), F.when(valid, reasons).otherwise(F.array(F.lit("invalid-evaluation"))).alias("reasons"))
+    valid = F.coalesce(valid, F.lit(False))
+    other = F.coalesce(accept & valid & ~F.isnan(supersede) & (supersede >= supersede_threshold), F.lit(False)) if supersede is not None else F.lit(False)
+    return F.struct((accept & valid).alias("accept"), F.when(valid, reasons).otherwise(F.array(F.lit("invalid-evaluation"))).alias("reasons"), other.alias("supersedes"))
 
 
 def sanitize(category_: Column, importance_: Column, categories) -> Column:

@@ -116,13 +116,18 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.count("*").alias("n"))
 
 
-def merge_edges(old: DataFrame, new: DataFrame) -> DataFrame:
+def merge_edges(old: DataFrame, new: DataFrame, active: DataFrame | None = None) -> DataFrame:
     """Upsert of derived edges: of a batch's rows for one key the last (seq) counts; explicit ones are never overwritten by derived ones.
 
-    Both: source_id, target_id, edge_type, weight, derived, seq.
+    Both: source_id, target_id, edge_type, weight, derived, seq. With active (column id), edges with an
+    end that is not active, and self links, fall out.
     """
     key = ("source_id", "target_id", "edge_type")
     batch = new.withColumn("r", F.row_number().over(W.partitionBy(*key).orderBy(F.desc("seq")))).where("r = 1").drop("r")
     both = old.withColumn("b", F.lit(0)).unionByName(batch.withColumn("b", F.lit(1)))
+    if active is not None:
+        both = both.where("source_id <> target_id")
+        for end in ("source_id", "target_id"):
+            both = both.join(active.select(F.col("id").alias(end)), end, "left_semi")
     kept = F.max_by(F.struct("weight", "seq"), F.when(~F.col("derived"), F.lit(2)).otherwise(0) + F.col("b"))
     return both.groupBy(*key).agg(kept.alias("w"), F.bool_and("derived").alias("derived")).select(*key, "w.weight", "derived")

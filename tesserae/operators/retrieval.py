@@ -16,7 +16,7 @@ from tesserae.constants import ANCHORS, RRF_K, SEARCH_FTS, SEARCH_KEYWORD, VECTO
 
 MAX_QUERIES = 4096
 #: Queries, and tokens of them all, that are scored in the scan.
-IN_SCAN, SCAN_TOKENS = 128, 100_000
+IN_SCAN, SCAN_TOKENS = 8, 400
 
 
 def sized(small: DataFrame, rows: int = MAX_QUERIES) -> DataFrame:

@@ -58,11 +58,14 @@ _INTENTS = ("why, tell me about the reason", "why when", "what is the date", "wh
 _alt = lambda terms: "\\b(?:" + "|".join(t for t in terms if t.isascii()) + ")\\b|" + "|".join(t for t in terms if not t.isascii())
 
 
-@query(f"""with q as (select * from (values {", ".join(f"('{q}')" for q in _INTENTS)}) as t(query)),
-n as (select query, len(regexp_extract_all(lower(query), '{_alt(WHY_TERMS)}')) as y, len(regexp_extract_all(lower(query), '{_alt(WHEN_TERMS)}')) as w, len(regexp_extract_all(lower(query), '{_alt(WHAT_TERMS)}')) as e from q)
-select query, case when y > w and y > e then 'WHY' when w > y and w > e then 'WHEN' when e > 0 then 'ENTITY' else 'GENERAL' end as intent from n""")
+@query(f"""with q as (select conv_id, turn, text as query from conversations union all select -1, k, query from (values {", ".join(f"({k}, '{q}')" for k, q in enumerate(_INTENTS))}) as t(k, query)),
+n as (select *, len(regexp_extract_all(lower(query), '{_alt(WHY_TERMS)}')) as y, len(regexp_extract_all(lower(query), '{_alt(WHEN_TERMS)}')) as w, len(regexp_extract_all(lower(query), '{_alt(WHAT_TERMS)}')) as e from q)
+select conv_id, turn, case when y > w and y > e then 'WHY' when w > y and w > e then 'WHEN' when e > 0 then 'ENTITY' else 'GENERAL' end as intent from n""")
 def intent_detect(spark, sf):
-    return spark.sql("select * from values " + ", ".join(f"('{q}')" for q in _INTENTS) + " as t(query)").select("query", scoring.detect_intent(F.col("query")).alias("intent"))
+    """Of every turn of the conversations, and of some questions (as conversation -1) that hold all kinds of terms."""
+    own = spark.sql("select -1L as conv_id, cast(k as bigint) as turn, query from values " + ", ".join(f"({k}, '{q}')" for k, q in enumerate(_INTENTS)) + " as t(k, query)")
+    q = read(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("query")).union(own)
+    return q.select("conv_id", "turn", scoring.detect_intent(F.col("query")).alias("intent"))
 
 
 # Retrieval
@@ -148,11 +151,6 @@ def entity_mentions(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(entities.MENTION), F.lit(1)))).alias("mention"))
 
 
-@query()
-def entity_extract(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", F.posexplode(entities.extract(F.col("text"))).alias("place", "entity"))
-
-
 # A row's entities in what follows: its source, and the words of its text that are no longer than three letters.
 _SHORT = "list_distinct(list_concat([source], regexp_extract_all(content, '\\b[a-zA-Z]{1,2}\\b')))"
 
@@ -353,12 +351,12 @@ def _walk_parts(intent: str, start: str) -> tuple[list[str], int]:
 
 
 def _walk_sql(intent: str) -> str:
-    start = "(select 1 as query_id, id, 1.0::double / (1 + row_number() over (order by id)) as score, 'keyword' as via from d where id % 250 = 3)"
+    start = "(select 1 as query_id, id, 1.0::double / (1 + row_number() over (order by id)) as score, 'keyword' as via from d where id % 100 = 0)"
     return f"with {V.D0}, {V.G}, " + ",\n".join(_walk_parts(intent, start)[0]) + " select id, round(score, 6) as score, via from walked"
 
 
 def _walk(spark, sf, intent):
-    d = V.documents(spark, sf, False).where("id % 250 = 3").select("id")
+    d = V.documents(spark, sf, False).where("id % 100 = 0").select("id")
     start = d.withColumn("query_id", F.lit(1)).withColumn("score", 1.0 / (1 + F.row_number().over(W.partitionBy("query_id").orderBy("id")))).withColumn("via", F.lit("keyword"))
     q = spark.sql(f"select 1 as query_id, '{intent}' as intent")
     return graph.walk(start, V.edges(spark, sf), q).select("id", r6("score").alias("score"), "via")
@@ -391,13 +389,6 @@ def related_bfs(spark, sf):
     return graph.related(start, g, 2, 20).select("id", "depth", r6("weight").alias("weight"), "edge_type")
 
 
-@query()
-def causal_topo(spark, sf):
-    """Anchors in causal order: iterative, no SQL form."""
-    a = retrieval.anchors(V.documents(spark, sf), V.queries(spark))
-    return graph.topological(a, V.edges(spark, sf))
-
-
 # Scores
 
 _FINAL = f"""{_RRF}, c as (select a.query_id, a.id, a.score as graph_raw, coalesce(kw.keyword, 0) as keyword, case when contains(d.content, 'idiot') then 1.0 else 0.0 end as entity, d.importance from anchors a join d using (id) left join kw on kw.query_id = a.query_id and kw.id = a.id),
@@ -474,13 +465,6 @@ def gate_flags(spark, sf):
     return read(spark, sf, "documents").select("doc_id", gates.has(t, gates.CARD_NUMBER).alias("card"), gates.has(t, gates.SECRET_STATEMENT).alias("statement"), gates.any_of(t, gates.TRANSIENT).alias("transient"), gates.any_of(t, gates.PERSONAL).alias("personal"), gates.any_of(t, gates.ORGANIZATION).alias("organization"), gates.has(t, gates.SMALL_TALK).alias("small_talk"), gates.category(t).alias("category"), gates.importance(t).alias("importance"))
 
 
-@query()
-def gate_decide(spark, sf):
-    """The whole gate over the last user message of each conversation; look-ahead has no RE2 form."""
-    k = latest_user_text(spark, sf)
-    return k.select("conv_id", gates.heuristic_gate(F.col("user_text"), F.lit("personal"), F.array().cast("array<string>")).alias("g")).select("conv_id", "g.*")
-
-
 @query("select conv_id, max_by(text, turn) as user_text from conversations where role = 'user' group by 1")
 def latest_user_text(spark, sf):
     return read(spark, sf, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("user_text"))
@@ -510,3 +494,6 @@ def recall_flagship(spark, sf):
     d = V.documents(spark, sf).withColumn("entities", F.array("source"))
     q = V.queries(spark).withColumn("intent", scoring.detect_intent(F.col("query"))).withColumn("entities", F.array().cast("array<string>"))
     return recall(d, V.edges(spark, sf), q, limit=10).select("query_id", F.col("place").cast("bigint").alias("place"), "id", r6("score").alias("score"), "via")
+
+
+from . import reports  # noqa: E402, F401  registers its queries here

@@ -6,6 +6,9 @@ import json
 import math
 import re
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 from tesserae import constants as C
 from tesserae.errors import ValidationError
 
@@ -89,3 +92,23 @@ def remember(i: dict) -> dict:
     return {"content": content, "category": one_of(i.get("category", "general"), "category", C.CATEGORIES), "importance": importance,
             "tags": texts(i.get("tags"), "tags", C.MAX_TAGS, C.MAX_TAG), "entities": texts(i.get("entities"), "entities", C.MAX_ENTITIES, C.MAX_ENTITY),
             "source": text(i.get("source", "user"), "source", C.MAX_SOURCE), "created_at": timestamp(i["created_at"], "created_at") if i.get("created_at") is not None else None, "deduplicate": i.get("deduplicate", True)}
+
+
+def faults(rows: DataFrame) -> Column:
+    """Array of (field, code): every fault of a row to be loaded; the columns that rows has of content, importance,
+    category, tags, entities, source and created_at are looked at. Null is a fault where a value is needed."""
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    blank = lambda c: F.col(c).isNull() | (F.trim(F.regexp_replace(c, r"(?U)\s+", " ")) == "")
+    longest = lambda c, n: F.coalesce(F.exists(c, lambda x: F.char_length(x) > n), F.lit(False))
+    empty = lambda c: F.coalesce(F.exists(c, lambda x: x.isNull() | (F.trim(x) == "")), F.lit(False))
+    rules = {
+        "content": [("blank", blank("content")), ("too_long", F.char_length("content") > C.MAX_CONTENT)],
+        "importance": [("out_of_range", F.col("importance").isNull() | ~F.col("importance").between(1, 5))],
+        "category": [("not_allowed", F.col("category").isNull() | ~F.col("category").isin(*C.CATEGORIES))],
+        "tags": [("too_many", size("tags") > C.MAX_TAGS), ("too_long", longest("tags", C.MAX_TAG)), ("blank", empty("tags"))],
+        "entities": [("too_many", size("entities") > C.MAX_ENTITIES), ("too_long", longest("entities", C.MAX_ENTITY)), ("blank", empty("entities"))],
+        "source": [("blank", blank("source")), ("too_long", F.char_length("source") > C.MAX_SOURCE)],
+        "created_at": [("missing", F.col("created_at").isNull())],
+    }
+    found = [F.when(bad, F.struct(F.lit(field).alias("field"), F.lit(code).alias("code"))) for field, own in rules.items() if field in rows.columns for code, bad in own]
+    return F.array_compact(F.array(*found))
