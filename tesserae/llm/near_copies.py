@@ -5,11 +5,12 @@ made of ROWS minima of hashed shingles: of pairs at 0.8 all but 3 in a million d
 has linked are one group from the start; a key whose texts are all of one group is dropped.
 
 Of the texts of a key that is left one leads: that which stands in the largest keys altogether, so the
-text that most others are copies of. The others meet it alone, and what is linked falls together; this
-is done STARS times. Where a key's texts still are of different groups, they meet in chunks of CHUNK,
-as arrays: a pair becomes a row only if so many bytes of the two sketches agree as they do, but for
-5 in a million, at a similarity of 0.8. In both cases the sketches come first; a pair that passes is
-compared by its whole sets.
+text that most others are copies of. The others meet it alone, and what is linked falls together.
+Where a key's texts still are of different groups, all meet in chunks, as arrays. Sketches come first:
+a text without a partner whose sketch agrees as it does, but for 5 in a million, at a similarity of 0.8
+is done. The others meet again with their whole sets, each pair in the first key that it shares, the
+most alike first, and not if they have fallen together meanwhile; only links are put out, so no pair
+of a group is a row unless it is one of the links that span it.
 """
 from __future__ import annotations
 
@@ -30,7 +31,9 @@ BANDS, ROWS = 24, 4
 LEAST = (4, 5)
 #: Least number of equal bytes in two sketches of BANDS * ROWS bytes: 4.4 standard deviations under the mean at 0.8.
 AGREE = 60
-STARS, CHUNK, SALTS = 1, 256, 8
+#: Texts of a chunk that bears sketches, and of one that bears sets.
+CHUNK, FULL = 256, 64
+SALTS = 8
 #: Rows, and bytes, of what is broadcast.
 SMALL, SMALL_BYTES = 200_000, 16 << 20
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -156,37 +159,84 @@ def _led(members: DataFrame) -> DataFrame:
     return met.select(F.col("node").alias("a"), F.col("m.node").alias("b"), F.col("root").alias("u"), F.col("m.root").alias("v"), F.col("sketch").alias("x"), F.col("m.sketch").alias("y"))
 
 
-_PAIRS = "a bigint, b bigint, u bigint, v bigint"
+def _chunks(members: DataFrame, size: int) -> DataFrame:
+    """Pairs (key, one, two) of the chunks of each key's members (with n, the key's size); two is null for a chunk by itself."""
+    cols = [c for c in members.columns if c not in ("key", "n")]
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / size)).alias("c")
+    chunks = settle(members.groupBy("key", part).agg(F.collect_list(F.struct(*cols)).alias("rows")))
+    two = chunks.alias("x").join(chunks.alias("y"), F.expr("x.key = y.key and x.c < y.c")).select("x.key", F.col("x.rows").alias("one"), F.col("y.rows").alias("two"))
+    return two.union(chunks.select("key", F.col("rows").alias("one"), F.lit(None).cast(chunks.schema["rows"].dataType).alias("two")))
+
+
+def _candidates(x, y) -> tuple[np.ndarray, np.ndarray]:
+    """Places in two chunks of texts of different roots whose sketches agree; each pair once where y is x."""
+    xs, ys = _bytes(x.field("sketch")), _bytes(y.field("sketch"))
+    xr, yr = x.field("root").to_numpy(zero_copy_only=False), y.field("root").to_numpy(zero_copy_only=False)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for i in range(0, len(xs), 16):
+        p, q = np.nonzero(_agree(xs[i:i + 16, None], ys[None]) & (xr[i:i + 16, None] != yr[None]))
+        found.append((p + i, q))
+    p, q = (np.concatenate(z) for z in zip(*found))
+    return (p[p < q], q[p < q]) if y is x else (p, q)
 
 
 def _met(batches):
-    """Pairs of two chunks of a key, or inside one (the second is null): of different roots, with sketches that agree."""
+    """Texts (node) that have a candidate."""
     for b in batches:
+        nodes = [np.zeros(0, np.int64)]
         for one, two in zip(b.column("one"), b.column("two")):
             x = one.values
-            y = x if two.as_py() is None else two.values
-            get = lambda s, c: s.field(c).to_numpy(zero_copy_only=False)
-            xs, ys, xr, yr, xn, yn = _bytes(x.field("sketch")), _bytes(y.field("sketch")), get(x, "root"), get(y, "root"), get(x, "node"), get(y, "node")
-            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-            for i in range(0, len(xs), 16):
-                on = _agree(xs[i:i + 16, None], ys[None]) & (xr[i:i + 16, None] != yr[None])
-                p, q = np.nonzero(on)
-                found.append((p + i, q))
-            p, q = (np.concatenate(z) for z in zip(*found))
-            if y is x:
-                p, q = p[p < q], q[p < q]
-            low = xn[p] < yn[q]
-            a, c, u, v = np.where(low, xn[p], yn[q]), np.where(low, yn[q], xn[p]), np.where(low, xr[p], yr[q]), np.where(low, yr[q], xr[p])
-            yield pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in (a, c, u, v)], names=["a", "b", "u", "v"])
-
-
-def _rest(members: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b, u, v) of a key's members that are still apart and whose sketches agree."""
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CHUNK)).alias("c")
-    chunks = settle(members.groupBy("key", part).agg(F.collect_list(F.struct("node", "root", "sketch")).alias("rows")))
-    two = chunks.alias("x").join(chunks.alias("y"), F.expr("x.key = y.key and x.c < y.c")).select(F.col("x.rows").alias("one"), F.col("y.rows").alias("two"))
-    alone = chunks.select(F.col("rows").alias("one"), F.lit(None).cast(chunks.schema["rows"].dataType).alias("two"))
-    return two.union(alone).mapInArrow(_met, _PAIRS).distinct()
+            y = x if two.values is None else two.values
+            p, q = _candidates(x, y)
+            nodes += [np.unique(x.field("node").to_numpy(zero_copy_only=False)[p]), np.unique(y.field("node").to_numpy(zero_copy_only=False)[q])]
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(nodes)))], names=["node"])
+
+
+def _similar_sets(x: np.ndarray, y: np.ndarray) -> bool:
+    least, of = LEAST
+    if of * min(len(x), len(y)) < least * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return of * both >= least * (len(x) + len(y) - both)
+
+
+def _linked(batches):
+    """Links (u, v) of roots whose texts are similar enough, without those that follow from others of the same two chunks."""
+    for b in batches:
+        links = [(0, 0)][:0]
+        for key, one, two in zip(b.column("key").to_pylist(), b.column("one"), b.column("two")):
+            x = one.values
+            y = x if two.values is None else two.values
+            p, q = _candidates(x, y)
+            keys = [z.field("keys").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS) for z in (x, y)]
+            shared = keys[0][p] == keys[1][q]
+            here = keys[0][p, np.argmax(shared, axis=1)] == key if len(p) else np.zeros(0, bool)
+            p, q = p[here], q[here]
+            order = np.argsort(-(_bytes(x.field("sketch"))[p] == _bytes(y.field("sketch"))[q]).sum(axis=1), kind="stable") if len(p) else []
+            xr, yr = x.field("root").to_pylist(), y.field("root").to_pylist()
+            up: dict = {}
+
+            def top(r):
+                while r in up:
+                    r = up[r]
+                return r
+
+            for i, j in zip(p[order].tolist(), q[order].tolist()):
+                u, v = top(xr[i]), top(yr[j])
+                if u != v and _similar_sets(x.field("hashes")[i].values.to_numpy(), y.field("hashes")[j].values.to_numpy()):
+                    up[max(u, v)] = min(u, v)
+                    links.append((xr[i], yr[j]))
+        yield pa.RecordBatch.from_arrays([pa.array([z[k] for z in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+
+def _rest(members: DataFrame, texts: DataFrame, base: DataFrame) -> DataFrame:
+    """Links (u, v) among a key's members that are still apart."""
+    some = settle(_chunks(members, CHUNK).mapInArrow(_met, "node bigint").distinct())
+    small = some.count() <= SMALL
+    few = members.select("key", "node", "root").join(F.broadcast(some) if small else some, "node", "left_semi")
+    stats = settle(few.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key", "n"))
+    whole = texts.select("node", "sketch", "keys").join(_sets(base, some), "node")
+    return _chunks(_salted(few, stats, "key").join(settle(whole), "node"), FULL).mapInArrow(_linked, "u bigint, v bigint").distinct()
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = simhash.BITS) -> DataFrame:
@@ -202,16 +252,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     read = settle(_read(base))
     fps = simhash.linked(read.select("fp").distinct(), bits)  # (fp, root)
     rows = settle(read.select("id", "node", "fp").join(fps, "fp").select("id", "node", "root"))
-    texts = read.where("keys is not null").dropDuplicates(["node"]).join(fps, "fp").select("node", "root", "sketch", F.explode("keys").alias("key"))
-    members = settle(_apart(texts))
-    for star in range(STARS + 1):
+    texts = settle(read.where("keys is not null").select("node", "fp", "keys", "sketch").dropDuplicates(["node"]).join(fps, "fp").select("node", "root", "sketch", "keys"))
+    members = settle(_apart(texts.select("node", "root", "sketch", F.explode("keys").alias("key"))))
+    for star in (True, False):
         if members.isEmpty():
             break
-        pairs = settle(_alike(_led(members).distinct()) if star < STARS else _rest(members))
-        roots = settle(components(_similar(pairs, base)))
-        new = members.drop("n").join(roots, members.root == roots.node, "left").select("key", members.node, F.coalesce(roots.root, members.root).alias("root"), "sketch")
-        if star < STARS:
-            members = settle(_apart(new))
+        roots = settle(components(_similar(settle(_alike(_led(members).distinct())), base) if star else _rest(members, texts, base)))
         rows = settle(rows.join(roots.select(F.col("node").alias("was"), F.col("root").alias("least")), F.col("root") == F.col("was"), "left").select("id", "node", F.coalesce("least", "root").alias("root")))
+        if star:
+            new = members.drop("n").join(roots.withColumnRenamed("root", "least"), members.root == roots.node, "left").select("key", members.node, F.coalesce("least", "root").alias("root"), "sketch")
+            members = settle(_apart(new))
     ids = settle(rows.groupBy(F.col("root").alias("r")).agg(F.min("id").alias("component_id")))
     return rows.join(ids, rows.root == ids.r).select(F.col("id").alias(id_col), "component_id")

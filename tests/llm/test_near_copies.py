@@ -1,6 +1,8 @@
 """Near copies of the pipeline against brute force."""
 import random
 
+import pytest
+
 import corpus_pipeline as P
 from tesserae.llm.near_copies import near_copies
 
@@ -34,7 +36,15 @@ def brute(rows):
         root = new
 
 
-def test_groups_equal_brute_force(spark):
+@pytest.mark.parametrize("chunks", [(256, 64), (9, 5)])
+def test_groups_equal_brute_force(spark, monkeypatch, chunks):
+    """In whole keys and in keys that are cut into chunks; without leaders, so that all links come from chunks."""
+    from tesserae.llm import near_copies as N
+
+    monkeypatch.setattr(N, "CHUNK", chunks[0])
+    monkeypatch.setattr(N, "FULL", chunks[1])
+    if chunks[0] < 256:
+        monkeypatch.setattr(N, "_led", lambda members, led=N._led: led(members).limit(0))
     rows = list(enumerate(texts()))
     want = brute(rows)
     got = {r.doc_id: r.component_id for r in near_copies(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), bits=0).collect()}
