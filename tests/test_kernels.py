@@ -1,10 +1,11 @@
 """Column kernels on hand-written examples."""
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae import adapters
+from tesserae import adapters, validate
 from tesserae.functions import diff, entities, gates, scoring
 from tesserae.functions import similarity as S
 from tesserae.functions import text as T
@@ -118,16 +119,17 @@ def test_judged_gate_and_sanitiser(spark):
     assert s.category is None and s.importance == 5
 
 
+#: audience, fact, what is known, the reason that rejects it
 FACTS = [
-    ("organization", "Refunds over $500 must be approved by the head of support.", None, None), ("organization", "We deploy to production only on Tuesdays and Thursdays.", None, None),
-    ("personal", "I prefer answers as short bullet lists.", None, None), ("personal", "My manager is Luis Ortega.", None, None), ("personal", "Dana is allergic to peanuts.", None, None),
-    ("organization", "The export is running right now and is 40% done.", None, "transient"), ("organization", "Build 48213 failed on the lint step.", None, "transient"),
-    ("personal", "Thanks, that worked!", None, "durable"), ("personal", "Can you check the logs?", None, "durable"), ("organization", "ok", None, "durable"),
-    ("organization", "The billing service is owned by the payments team.", ["The billing service is owned by the payments team."], "duplicate"),
-    ("personal", "Dana is also allergic to shellfish.", ["Dana is allergic to peanuts."], None),
-    ("organization", "My wife's birthday is March 3.", None, "appropriateAudience"), ("personal", "The payments team owns the billing service.", None, "appropriateAudience"),
-    ("personal", "My bank PIN is 4821.", None, "sensitive"), ("personal", "My card number is 4111 1111 1111 1111.", None, "sensitive"), ("organization", "Staging API key: sk-live_9fX2aQ7rT4mP8wZ1bC3dE5", None, "sensitive"),
-    ("organization", "Token: rotate every 90 days and tell the vendor", None, None),
+    ("organization", "Travel costs above 900 euros need a signature from the finance lead.", None, None), ("organization", "Our warehouse ships parcels every Monday and Friday.", None, None),
+    ("personal", "I like meeting notes as one short paragraph.", None, None), ("personal", "My team lead is Noor Haddad.", None, None), ("personal", "Milo hates cilantro in soups.", None, None),
+    ("organization", "The nightly backup is in progress and 70% copied.", None, "transient"), ("organization", "Ticket 90211 waits for a reviewer.", None, "transient"), ("personal", "I'm working on the slides this afternoon.", None, "transient"),
+    ("personal", "Great, that helped a lot!", None, "durable"), ("personal", "Could you restart the printer?", None, "durable"), ("organization", "sounds good", None, "durable"),
+    ("organization", "The search index is owned by the platform group.", ["The search index is owned by the platform group."], "duplicate"),
+    ("personal", "Milo also hates raw onions.", ["Milo hates cilantro in soups."], None),
+    ("organization", "My daughter's recital is on May 9.", None, "appropriateAudience"), ("personal", "The platform group runs the search index release.", None, "appropriateAudience"),
+    ("personal", "My locker combination is 7730 1.", None, "sensitive"), ("personal", "I pay with 5500 0000 0000 0004 as my card.", None, "sensitive"), ("organization", "Test secret: Zq81_kkp02mmW", None, "sensitive"),
+    ("organization", "Secret: santa is drawn by the office crew in December", None, None),
 ]
 
 
@@ -139,6 +141,36 @@ def test_gate(spark):
         assert reject is None or reject in got[i].reasons, (fact, got[i])
 
 
+def test_gate_patterns_know_all_white_space(spark):
+    """Blanks beyond ASCII count in the patterns, inside classes and outside; joined patterns find what each finds."""
+    blanks = [" ", "\u00a0", "\u3000", "\u2028", "\ufeff", "\t"]
+    rows = [(f"the password{b}is{b}hunter2x",) for b in blanks] + [(f"1234{b}5678{b}1234{b}5678",) for b in blanks] + [(f"secret:{b}ab_c1234",) for b in blanks]
+    got = spark.createDataFrame(rows, "t string").select(gates.sensitive(F.col("t")).alias("s")).collect()
+    assert all(r.s for r in got)
+    texts = ["step 3 of 9", "Ships TODAY", "re-today", "xtoday", "50%a", "50% a", "build #4821", "the user's", "I", "Iris prefers tea", "éI", "we", "wet", "ok then", "so ok"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for ps in (gates.TRANSIENT, gates.PERSONAL, gates.ORGANIZATION, (gates.SMALL_TALK, gates.QUESTION), gates.SECRETS):
+        both = df.select("t", gates.any_of(F.col("t"), ps).alias("a"), F.greatest(*(gates.has(F.col("t"), p) for p in ps), F.lit(False)).alias("b")).collect()
+        assert [r.a for r in both] == [r.b for r in both] == [any(re.search(p.replace(r"\z", r"\Z"), r.t, re.ASCII) for p in ps) for r in both]
+
+
+def test_faults(spark):
+    rows = [("ok", 3, "fact", ["a"], None), (" \u00a0", 9, "x", ["b" * 101, " "], None), (None, None, None, [str(i) for i in range(21)], None), ("y" * 8001, 5, "general", None, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, content string, importance int, category string, tags array<string>, created_at timestamp")
+    got = {r.i: [tuple(x) for x in r.f] for r in df.select("i", validate.faults(df).alias("f")).collect()}
+    late = ("created_at", "missing")
+    assert got[0] == [late] and got[3] == [("content", "too_long"), late]
+    assert got[1] == [("content", "blank"), ("importance", "out_of_range"), ("category", "not_allowed"), ("tags", "too_long"), ("tags", "blank"), late]
+    assert got[2] == [("content", "blank"), ("importance", "out_of_range"), ("category", "not_allowed"), ("tags", "too_many"), late]
+
+
+def test_causal_order_of_cycles():
+    from tesserae.operators.graph import causal_order
+
+    scores = {"a": 0.1, "b": 0.9, "c": 0.5, "x": 0.2, "y": 0.8}
+    assert causal_order(["x", "y", "b", "c", "a"], scores, [("a", "b"), ("x", "y"), ("y", "x"), ("c", "c")]) == ["c", "a", "b", "x", "y"]
+
+
 def test_fixed_rounds_the_binary_value():
     assert fixed(2.005, 2) == "2.00" and fixed(0.125, 2) == "0.13"
 
