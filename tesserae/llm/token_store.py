@@ -238,7 +238,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["kind", "key", "n", "data", "chunks", "doc_id"])
 
     staged = base.mapInArrow(run, f"{_STAGED}, doc_id {kind}")
-    staged.dropDuplicates(["key"]).write.mode("overwrite").partitionBy("kind").option("compression", "none").parquet(f"{path}/chunks")
+    staged.repartition("key").dropDuplicates(["key"]).write.mode("overwrite").partitionBy("kind").option("compression", "none").parquet(f"{path}/chunks")
     _write_recipes(spark, path, kind, encoder(tokenizer_path, width).width)
 
 
