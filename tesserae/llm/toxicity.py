@@ -37,7 +37,7 @@ TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_BYTES = 600, 1800, 32_768
 #: Bytes of ordinary content in each pair of dictionaries.
 SIZES = (131_072, 32_768)
 #: Rounds of the toxic dictionary: its bytes, and the step and overlap of the windows.
-PLAN = ((8192, 16, 8), (4096, 12, 8), (2048, 8, 6), (1024, 6, 6), (768, 6, 6))
+PLAN = ((8192, 16, 8), (4096, 12, 8), (3072, 8, 6), (2048, 6, 6), (1536, 6, 6))
 #: Windows that a toxic text gives to the next round, and folds of the calibration.
 TOP, FOLDS = 8, 3
 #: Times as many windows stay in sight for the rounds that follow.
