@@ -71,7 +71,11 @@ class Weights:
                 anchors.add(t)
                 left -= (w[t] / norm) ** 2
         self.anchors = sorted(anchors)
-        self.pattern = "(?i)(?<![a-z0-9])(?:" + "|".join(map(re.escape, sorted(anchors, key=lambda t: (-len(t), t)))) + ")(?![a-z0-9])"
+        self.pattern = "(?i)[^A-Za-z0-9](?:" + "|".join(map(re.escape, sorted(anchors, key=lambda t: (-len(t), t)))) + ")(?![A-Za-z0-9])"
+
+    def held(self, text: Column) -> Column:
+        """Whether a text holds an anchor; a blank in front makes a bound of its start."""
+        return F.concat(F.lit(" "), text).rlike(self.pattern)
 
     def table(self, spark) -> DataFrame:
         """(term, shares): a row for each term of the templates, with its share of each."""
@@ -84,7 +88,7 @@ def scores(texts: DataFrame, n: int, dfs: DataFrame, w: Weights) -> DataFrame:
     minus the template's number."""
     spark = texts.sparkSession
     unit = lambda u, whole: F.struct(terms_of(u).alias("terms"), F.lit(whole).alias("whole"))
-    some = F.filter(F.array_union(F.split("t", "\n"), F.split("t", PARAGRAPH)), lambda u: u.rlike(w.pattern))
+    some = F.filter(F.array_union(F.split("t", "\n"), F.split("t", PARAGRAPH)), w.held)
     units = texts.select("key", F.posexplode(F.concat(F.transform(some, lambda u: unit(u, False)), F.array(unit(F.col("t"), True)))).alias("u", "x"))
     each = units.select("key", "u", F.col("x.whole").alias("whole"), F.explode("x.terms").alias("term")).groupBy("key", "u", "whole", "term").agg(F.count("*").alias("n"))
     each = settle(each)
@@ -118,11 +122,12 @@ def scan(df: DataFrame, path_col: str = "path", text_col: str = "text", keep: li
     n, dfs = frequencies(rows)
     vocabulary = sorted({t for _, x in templates for t in counted(x)})
     w = Weights(n, {r.term: r.df for r in dfs.where(F.col("term").isin(*vocabulary)).collect()}, templates, threshold)  # a row for each term of the templates
-    some = F.coalesce(F.col("t").rlike(w.pattern), F.lit(False))
-    texts = rows.where(some).select(F.md5(F.col("t").cast("binary")).alias("key"), "t").dropDuplicates(["key"])
-    found = settle(scores(texts, n, dfs, w))
     salt = F.pmod(F.xxhash64("__p"), F.lit(SALTS))
-    rows = settle(rows.select(*kept, "__p", F.regexp_replace("__p", "/?[^/]*$", "").alias("__d"), salt.alias("__s"), F.when(some, F.md5(F.col("t").cast("binary"))).alias("key")))  # without texts
+    cut = F.when(w.held(F.col("t")), F.struct(F.md5(F.col("t").cast("binary")).alias("key"), "t"))  # texts are looked through once; only those with an anchor are kept
+    rows = rows.select(*kept, "__p", F.regexp_replace("__p", "/?[^/]*$", "").alias("__d"), salt.alias("__s"), cut.alias("x"))
+    rows = settle(rows.select(*kept, "__p", "__d", "__s", F.col("x.key").alias("key"), F.col("x.t").alias("t")))
+    found = settle(scores(rows.where("key is not null").select("key", "t").dropDuplicates(["key"]), n, dfs, w))
+    rows = rows.drop("t")
     with_key = rows.where("key is not null").join(found, "key", "left")
     head, whole = (F.coalesce(F.col(c)["score"] >= threshold, F.lit(False)) for c in ("head", "whole"))
     named = F.coalesce(F.col("__p").rlike(FILE_NAME), F.lit(False))
