@@ -28,3 +28,7 @@ class NotFoundError(EngineError):
     def __init__(self, ids):
         self.ids = list(ids)
         super().__init__(f"not found: {', '.join(map(str, self.ids))}")
+
+
+class JudgeError(EngineError):
+    """A judge could not be asked. Its message holds no text that was judged."""
