@@ -7,8 +7,8 @@ has linked are one group from the start; a key whose texts are all of one group
 Of the texts of a key that is left one leads: that which stands in the largest keys altogether, so the
 text that most others are copies of. The others meet it alone, and what is linked falls together.
 Where a key's texts still are of different groups, all meet in chunks, as arrays. Sketches come first:
-a text without a partner whose sketch agrees as it does, but for 5 in a million, at a similarity of 0.8
-is done. The others meet again with their whole sets, each pair in the first key that it shares, the
+each pair in the first key that it shares; a text without a partner whose sketch agrees as it does, but
+for 5 in a million, at a similarity of 0.8 is done. The others meet again with their whole sets, the
 most alike first, and not if they have fallen together meanwhile; only links are put out, so no pair
 of a group is a row unless it is one of the links that span it.
 """
@@ -160,16 +160,18 @@ def _led(members: DataFrame) -> DataFrame:
 
 
 def _chunks(members: DataFrame, size: int) -> DataFrame:
-    """Pairs (key, one, two) of the chunks of each key's members (with n, the key's size); two is null for a chunk by itself."""
+    """Pairs (key, one, two) of the chunks of each key's members (with n, the key's size); two is null for a chunk by
+    itself. Keys of one chunk, which are most, take no part in the join."""
     cols = [c for c in members.columns if c not in ("key", "n")]
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / size)).alias("c")
-    chunks = settle(members.groupBy("key", part).agg(F.collect_list(F.struct(*cols)).alias("rows")))
-    two = chunks.alias("x").join(chunks.alias("y"), F.expr("x.key = y.key and x.c < y.c")).select("x.key", F.col("x.rows").alias("one"), F.col("y.rows").alias("two"))
+    chunks = settle(members.groupBy("key", part, (F.col("n") > size).alias("more")).agg(F.collect_list(F.struct(*cols)).alias("rows")))
+    many = chunks.where("more")
+    two = many.alias("x").join(many.alias("y"), F.expr("x.key = y.key and x.c < y.c")).select("x.key", F.col("x.rows").alias("one"), F.col("y.rows").alias("two"))
     return two.union(chunks.select("key", F.col("rows").alias("one"), F.lit(None).cast(chunks.schema["rows"].dataType).alias("two")))
 
 
-def _candidates(x, y) -> tuple[np.ndarray, np.ndarray]:
-    """Places in two chunks of texts of different roots whose sketches agree; each pair once where y is x."""
+def _candidates(key: int, x, y) -> tuple[np.ndarray, np.ndarray]:
+    """Places in two chunks of texts of different roots whose sketches agree, and of whose common keys this is the first."""
     xs, ys = _bytes(x.field("sketch")), _bytes(y.field("sketch"))
     xr, yr = x.field("root").to_numpy(zero_copy_only=False), y.field("root").to_numpy(zero_copy_only=False)
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
@@ -177,19 +179,26 @@ def _candidates(x, y) -> tuple[np.ndarray, np.ndarray]:
         p, q = np.nonzero(_agree(xs[i:i + 16, None], ys[None]) & (xr[i:i + 16, None] != yr[None]))
         found.append((p + i, q))
     p, q = (np.concatenate(z) for z in zip(*found))
-    return (p[p < q], q[p < q]) if y is x else (p, q)
+    if y is x:
+        p, q = p[p < q], q[p < q]
+    if not len(p):
+        return p, q
+    one, two = (z.field("keys").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS) for z in (x, y))
+    here = one[p, np.argmax(one[p] == two[q], axis=1)] == key
+    return p[here], q[here]
 
 
 def _met(batches):
-    """Texts (node) that have a candidate."""
+    """Members (key, node, root) that have a candidate."""
     for b in batches:
-        nodes = [np.zeros(0, np.int64)]
-        for one, two in zip(b.column("one"), b.column("two")):
+        rows = [(0, 0, 0)][:0]
+        for key, one, two in zip(b.column("key").to_pylist(), b.column("one"), b.column("two")):
             x = one.values
             y = x if two.values is None else two.values
-            p, q = _candidates(x, y)
-            nodes += [np.unique(x.field("node").to_numpy(zero_copy_only=False)[p]), np.unique(y.field("node").to_numpy(zero_copy_only=False)[q])]
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(nodes)))], names=["node"])
+            for z, at in zip((x, y), _candidates(key, x, y)):
+                at = np.unique(at)
+                rows += zip([key] * len(at), *(z.field(c).to_numpy(zero_copy_only=False)[at].tolist() for c in ("node", "root")))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["key", "node", "root"])
 
 
 def _similar_sets(x: np.ndarray, y: np.ndarray) -> bool:
@@ -207,11 +216,7 @@ def _linked(batches):
         for key, one, two in zip(b.column("key").to_pylist(), b.column("one"), b.column("two")):
             x = one.values
             y = x if two.values is None else two.values
-            p, q = _candidates(x, y)
-            keys = [z.field("keys").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS) for z in (x, y)]
-            shared = keys[0][p] == keys[1][q]
-            here = keys[0][p, np.argmax(shared, axis=1)] == key if len(p) else np.zeros(0, bool)
-            p, q = p[here], q[here]
+            p, q = _candidates(key, x, y)
             order = np.argsort(-(_bytes(x.field("sketch"))[p] == _bytes(y.field("sketch"))[q]).sum(axis=1), kind="stable") if len(p) else []
             xr, yr = x.field("root").to_pylist(), y.field("root").to_pylist()
             up: dict = {}
@@ -231,12 +236,12 @@ def _linked(batches):
 
 def _rest(members: DataFrame, texts: DataFrame, base: DataFrame) -> DataFrame:
     """Links (u, v) among a key's members that are still apart."""
-    some = settle(_chunks(members, CHUNK).mapInArrow(_met, "node bigint").distinct())
-    small = some.count() <= SMALL
-    few = members.select("key", "node", "root").join(F.broadcast(some) if small else some, "node", "left_semi")
-    stats = settle(few.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key", "n"))
-    whole = texts.select("node", "sketch", "keys").join(_sets(base, some), "node")
-    return _chunks(_salted(few, stats, "key").join(settle(whole), "node"), FULL).mapInArrow(_linked, "u bigint, v bigint").distinct()
+    keyed = members.join(texts.select("node", "keys"), "node")
+    some = settle(_chunks(keyed, CHUNK).mapInArrow(_met, "key bigint, node bigint, root bigint").distinct())
+    stats = settle(some.groupBy("key").agg(F.count("*").alias("n")))
+    sets = _sets(base, settle(some.select("node").distinct()))
+    whole = settle(texts.select("node", "sketch", "keys").join(sets, "node"))
+    return _chunks(_salted(some, stats, "key").join(whole, "node"), FULL).mapInArrow(_linked, "u bigint, v bigint").distinct()
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = simhash.BITS) -> DataFrame:
