@@ -29,3 +29,33 @@ def sessions(log: DataFrame, gap: str = "30 minutes", late: str = "10 minutes")
     """A user's operations grouped into sessions that end after a gap."""
     rows = log.withWatermark("created_at", late) if log.isStreaming else log
     return rows.groupBy(F.session_window("created_at", gap).alias("s"), "user_id").agg(F.count("*").alias("n")).select("user_id", "s.start", "s.end", "n")
+
+
+def backbone_stream(rows: DataFrame, by: tuple = ("namespace", "source")) -> DataFrame:
+    """(by, source_id, target_id, late) of a stream of rows (by, id, created_at): each row linked to the newest of its group so far.
+
+    The state of a group is its newest row alone. A row that is older than that is late: it is put out with
+    a null source_id, for whoever splices it between its neighbours (remember_many does), and does not
+    change the state. Within a micro-batch rows count in the order of (created_at, id).
+    """
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (*by, "id")}
+    out = ", ".join(f"{c} {kinds[c]}" for c in by) + f", source_id {kinds['id']}, target_id {kinds['id']}, late boolean"
+
+    def run(key, parts, state):
+        import pandas as pd
+
+        newest = state.get if state.exists else None
+        pdf = pd.concat(list(parts)).sort_values(["created_at", "id"])
+        made = []
+        for i, at in zip(pdf.id.tolist(), pdf.created_at):
+            now = (at.value, i)
+            if newest is not None and now <= (newest[0], newest[1]):
+                made.append((*key, None, i, True))
+                continue
+            if newest is not None:
+                made.append((*key, newest[1], i, False))
+            newest = now
+        state.update(newest)
+        yield pd.DataFrame(made, columns=[*by, "source_id", "target_id", "late"])
+
+    return rows.select(*by, "id", "created_at").groupBy(*by).applyInPandasWithState(run, out, f"at bigint, id {kinds['id']}", "append", "NoTimeout")
