@@ -63,7 +63,7 @@ def walk(anchors: DataFrame, edges: DataFrame, queries: DataFrame, vectors: Data
         order = W.partitionBy("query_id", "anchor").orderBy(F.desc("score"), "id")
         fresh = fresh.withColumn("r", F.row_number().over(order)).join(counted, ["query_id", "anchor"]).join(q, "query_id")
         fresh = settle(fresh.where(F.col("r") <= F.col("visited") - F.col("n")))
-        seen = settle(seen.union(fresh.select("query_id", "anchor", "id")))
+        seen = seen.union(fresh.select("query_id", "anchor", "id"))
         full = seen.groupBy("query_id", "anchor").agg(F.count("*").alias("m"))
         frontier = fresh.where(F.col("r") <= F.col("beam")).join(full, ["query_id", "anchor"]).where(F.col("m") < F.col("visited")).select("query_id", "anchor", "id", "score", *q.columns[1:])
     return best.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("r") <= max_candidates).drop("r")
@@ -87,7 +87,7 @@ def related(start: DataFrame, edges: DataFrame, depth: int, limit: int, edge_typ
         new = settle(new)
         if new.isEmpty():
             break
-        found = new if found is None else settle(found.union(new))
+        found = new if found is None else found.union(new)
         front = new.select("query_id", "id")
         seen = seen.union(front)
     if found is None:
