@@ -33,7 +33,8 @@ LEAST = (4, 5)
 AGREE = 60
 #: Texts of a chunk that bears sketches, and of one that bears sets.
 CHUNK, FULL = 256, 64
-SALTS = 8
+#: Tasks that a key is dealt to where its size is not known yet, and members of a task where it is.
+SALTS, HOT = 8, 1000
 #: Rows, and bytes, of what is broadcast.
 SMALL, SMALL_BYTES = 200_000, 16 << 20
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -136,26 +137,29 @@ def _similar(pairs: DataFrame, base: DataFrame) -> DataFrame:
     return met.where(of * both >= least * (F.size("x") + F.size("y") - both)).select("u", "v").distinct()
 
 
-def _salted(rows: DataFrame, small: DataFrame, on: str, by: str = "node") -> DataFrame:
-    """rows joined with one row a key of small, a checkpoint: broadcast if it is counted to be small, else with keys dealt to SALTS tasks."""
-    if small.count() <= SMALL // 4:
-        return rows.join(F.broadcast(small), on)
-    small = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(small.hint("merge"), [on, "salt"]).drop("salt")
+def _counted(rows: DataFrame, stats: DataFrame) -> DataFrame:
+    """rows with the size n of their key, from stats (key, n), a written table of narrow rows: broadcast if it is
+    counted to be small, else with each key dealt to SALTS tasks."""
+    if stats.count() <= SMALL:
+        return rows.join(F.broadcast(stats), "key")
+    stats = stats.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(stats.hint("merge"), ["key", "salt"]).drop("salt")
 
 
 def _apart(members: DataFrame) -> DataFrame:
     """Of members (key, node, root, sketch) those whose key holds more than one root, with the key's size n."""
     stats = members.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("key", "n")
-    return _salted(members, settle(stats), "key")
+    return _counted(members, settle(stats))
 
 
 def _led(members: DataFrame) -> DataFrame:
-    """Pairs (a, b, u, v, x, y): each member with the leader of its keys."""
-    weight = members.groupBy("node").agg(F.sum("n").alias("c"))
-    ranked = _salted(members.select("key", "node", "root", "sketch"), settle(weight), "node", "key")
-    lead = ranked.groupBy("key").agg(F.max_by(F.struct("node", "root", "sketch"), F.struct("c", "node")).alias("m"))
-    met = _salted(members.select("key", "node", "root", "sketch"), settle(lead), "key").where("root <> m.root")
+    """Pairs (a, b, u, v, x, y): each member with the leader of its keys. A key of many members is dealt to as many tasks as it needs."""
+    weight = settle(members.groupBy("node").agg(F.sum("n").alias("c")))
+    ranked = members.join(weight, "node")
+    lead = ranked.groupBy("key").agg(F.max_by(F.struct("node", "root", "sketch"), F.struct("c", "node")).alias("m"), F.max("n").alias("n"))
+    parts = F.ceil(F.col("n") / HOT).cast("int")
+    lead = settle(lead).select("key", "m", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+    met = members.withColumn("salt", F.pmod(F.xxhash64("node"), parts).cast("int")).join(lead, ["key", "salt"]).where("root <> m.root")
     return met.select(F.col("node").alias("a"), F.col("m.node").alias("b"), F.col("root").alias("u"), F.col("m.root").alias("v"), F.col("sketch").alias("x"), F.col("m.sketch").alias("y"))
 
 
@@ -241,7 +245,7 @@ def _rest(members: DataFrame, texts: DataFrame, base: DataFrame) -> DataFrame:
     stats = settle(some.groupBy("key").agg(F.count("*").alias("n")))
     sets = _sets(base, settle(some.select("node").distinct()))
     whole = settle(texts.select("node", "sketch", "keys").join(sets, "node"))
-    return _chunks(_salted(some, stats, "key").join(whole, "node"), FULL).mapInArrow(_linked, "u bigint, v bigint").distinct()
+    return _chunks(_counted(some, stats).join(whole, "node"), FULL).mapInArrow(_linked, "u bigint, v bigint").distinct()
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = simhash.BITS) -> DataFrame:

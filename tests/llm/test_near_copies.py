@@ -43,7 +43,9 @@ def test_groups_equal_brute_force(spark, monkeypatch, chunks):
 
     monkeypatch.setattr(N, "CHUNK", chunks[0])
     monkeypatch.setattr(N, "FULL", chunks[1])
+    monkeypatch.setattr(N, "HOT", 3)
     if chunks[0] < 256:
+        monkeypatch.setattr(N, "SMALL", 0)
         monkeypatch.setattr(N, "_led", lambda members, led=N._led: led(members).limit(0))
     rows = list(enumerate(texts()))
     want = brute(rows)
