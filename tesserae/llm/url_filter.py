@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, lower_ascii, ship
+from .common import lower_ascii, settle, ship
 
 #: (host, path prefix, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -26,6 +26,8 @@ LISTED = tuple(f"{name}.example.{tld}" for name in ("spam-farm", "casino-win") f
 RATE = 1 / 64
 #: Bytes of filters in one broadcast.
 BROADCAST_BYTES = 64 << 20
+#: Words of a filter that one task hands to the driver at most, about.
+WORDS_A_TASK = 1 << 20
 
 
 def host_of(url: Column) -> Column:
@@ -88,6 +90,7 @@ def _filter(keys: DataFrame, level: int, count: int, rate: float) -> tuple[int,
             yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], names=["w", "v"])
 
     out = np.zeros(bits // 64, np.uint64)
+    words = words.coalesce(-(-bits // 64 // WORDS_A_TASK))  # each partition is a job of its own below
     for r in words.mapInArrow(pack, "w binary, v binary").toLocalIterator():  # 16 bytes for each of at most bits / 64 words, whose number was checked
         out[np.frombuffer(r.w, "<i8")] = np.frombuffer(r.v, "<i8").view(np.uint64)
     return bits, hashes, out
@@ -112,10 +115,11 @@ def _passing(keys: DataFrame, cascade: Cascade, level: int) -> DataFrame:
 def build_cascade(listed: DataFrame, universe: DataFrame, rate: float = RATE, max_bytes: int = BROADCAST_BYTES) -> Cascade:
     """A cascade for the distinct keys of `listed` (column k) that is exact on every key of `universe`.
 
+    A key that is repeated in `universe` only makes filters larger.
     Raises ValueError where level 0 would be over max_bytes: deal the keys to more segments then.
     """
-    inside = checkpoint(listed.where("k is not null").distinct())
-    outside = universe.where("k is not null").distinct().join(inside, "k", "left_anti")
+    inside = settle(listed.where("k is not null").distinct())
+    outside = universe.where("k is not null").join(inside, "k", "left_anti")
     n = inside.count()
     if n * -math.log2(rate) / math.log(2) / 8 > max_bytes:
         raise ValueError("too many listed keys for one filter")
@@ -123,7 +127,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame, rate: float = RATE, ma
     now, other, level = inside, outside, 0
     while n:
         cascade.levels.append(_filter(now, level, n, rate))
-        wrong = checkpoint(_passing(other, cascade, level))
+        wrong = settle(_passing(other, cascade, level))
         n = wrong.count()
         now, other, level = wrong, now, level + 1
         if level > 40:
@@ -140,8 +144,8 @@ def listed_hosts(urls: DataFrame, listed: DataFrame, host: str, max_bytes: int =
     """urls with a boolean column __listed: whether the host or a parent domain is a key of listed (column k)."""
     spark = urls.sparkSession
     ship(spark)
-    universe = checkpoint(urls.select(F.col(host).alias("h")).distinct().select(F.explode(domains_of(F.col("h"))).alias("k")).distinct())
-    keys = listed.select(lower_ascii(F.col("k")).alias("k")).distinct()
+    universe = settle(urls.select(F.col(host).alias("h")).distinct().select(F.explode(domains_of(F.col("h"))).alias("k")).distinct())
+    keys = settle(listed.select(lower_ascii(F.col("k")).alias("k")).distinct())
     n = segments_for(keys.count(), rate, max_bytes)
     out = urls.withColumn("__listed", F.lit(False))
     names = out.columns
@@ -158,7 +162,7 @@ def listed_hosts(urls: DataFrame, listed: DataFrame, host: str, max_bytes: int =
         schema = out.schema
         out = asked.mapInArrow(_asker(sent, [h for _, h in shape], names), schema)
         if n > 1:
-            out = checkpoint(out)
+            out = settle(out)
     return out
 
 
