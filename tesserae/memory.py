@@ -118,7 +118,7 @@ class Memory:
         rows = self._rows() if source is None else self._rows().where(F.col("source") == source)
         rows = rows.withColumn("tokens", F.col("search_tokens"))
         want = [T.stem(w) for w in sorted(self._tokens(query)) if w not in C.STOPWORDS]
-        fts = rows.select(F.lit(1).alias("query_id"), "id", T.cover_density(T.stems(F.col("content")), want).alias("rank_cd")).where("rank_cd is not null")
+        fts = rows.select("id", F.explode(T.cover_ranks(F.col("content"), [(1, want)])).alias("r")).select("r.query_id", "id", "r.rank_cd")
         got = retrieval.search(rows, self._query(query), limit, fts).orderBy("rank").collect()
         found = {r.id: public(r) for r in self._ids(rows, [g.id for g in got]).collect()}
         return [{"insight": found[g.id], "score": g.score, "via": g.via} for g in got]
