@@ -34,7 +34,7 @@ def want(rows, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("limits", [{}, {"BLOCK_TOKENS": 2000, "HELD": 16, "TASK_TOKENS": 3000}, {"SEEDS": 0}, {"SEED_TOKENS": 300, "SPARE": 1}])
+@pytest.mark.parametrize("limits", [{}, {"BLOCK_TOKENS": 2000, "HELD": 16}, {"SEEDS": 0}, {"SEED_TOKENS": 300, "SPARE": 1}])
 def test_most_shared(spark, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(overlap, name, value)
