@@ -56,3 +56,24 @@ def test_pairs_shuffle_neither_tokens_nor_texts(spark, name):
 
     plan = e.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "content" not in plan and "tokens" not in plan and "text#" not in plan
+
+
+def two_kinds():
+    """Rows of two kinds that have no word in common, one id twice."""
+    r = random.Random(3)
+    rows = [(i, sorted({f"{'ab'[i % 2]}{min(199, int(r.expovariate(1 / 40)))}" for _ in range(120)}), i % 3, i) for i in range(200)]
+    return rows + [(7, rows[9][1], 1, 7)]
+
+
+def test_blocks_are_of_one_kind(spark, monkeypatch):
+    """Each block has queries of one kind: rows of the other are not looked at one by one."""
+    made, index = [], overlap._index
+    monkeypatch.setattr(overlap, "_index", lambda block: made.append([q % 2 for q in block.column("query_id").to_pylist()]) or index(block))
+    df = spark.createDataFrame(two_kinds(), "id bigint, tokens array<string>, importance int, t bigint").select("id", overlap.prints(F.col("tokens")).alias("own"), "importance", F.timestamp_seconds("t").alias("created_at"))
+    asked = df.select(F.col("id").alias("query_id"), "own")
+    whole = sorted(map(tuple, overlap.most_shared(df, asked, 5).collect()))
+    made.clear()
+    monkeypatch.setattr(overlap, "BLOCK_TOKENS", 2500)
+    assert sorted(map(tuple, overlap.most_shared(df, asked, 5).collect())) == whole
+    assert sum(map(len, made)) == 201 and len(made) > 2
+    assert sum(len(set(kinds)) > 1 for kinds in made) <= 1
